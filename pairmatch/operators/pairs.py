@@ -77,7 +77,7 @@ def long_form(df: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
             for s in (1, 2)
         ]
     )
-    return df.select("id", *carry, F.inline(sides))
+    return df.select("id", *carry, F.inline_outer(sides))
 
 
 def union_chunks(parts: list[DataFrame]) -> DataFrame:

@@ -3,10 +3,19 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def exploded(df: DataFrame, array: Column | str, name: str, *keep: str) -> DataFrame:
+    """One row per non-null array element, next to the ``keep`` columns.
+
+    The outer form stops the optimiser from testing the array size in a filter below the
+    projection, which would compute a costly array twice.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def global_row_number(
     df: DataFrame, key: str, by: str | None = None, buckets: int = 512, name: str = "rn"
 ) -> DataFrame:

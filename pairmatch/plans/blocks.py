@@ -225,12 +225,18 @@ BLOCKS: dict[str, tuple[list[str], str]] = {
     # similarity grid
     "shaped": (["token_pairs"], """
         SELECT *, ceil(sqrt(n))::BIGINT AS L FROM (
-            SELECT id, t1, t2, len(t1) AS n1, len(t2) AS n2,
+            SELECT id, len(t1)::BIGINT AS n1, len(t2)::BIGINT AS n2,
                    greatest(1, len(t1) * len(t2))::BIGINT AS n FROM token_pairs)"""),
-    "cells": (["shaped"], f"""
-        SELECT id, k, CASE WHEN n1 > 0 AND n2 > 0 THEN t1[pos // n2 + 1] END AS w1,
-               CASE WHEN n1 > 0 AND n2 > 0 THEN t2[pos % n2 + 1] END AS w2
-        FROM (SELECT *, {_POS} AS pos FROM shaped, (SELECT range AS k FROM range(784)))"""),
+    "words1": (["token_pairs"], """
+        SELECT id, generate_subscripts(t1, 1) - 1 AS i, unnest(t1) AS w1 FROM token_pairs"""),
+    "words2": (["token_pairs"], """
+        SELECT id, generate_subscripts(t2, 1) - 1 AS j, unnest(t2) AS w2 FROM token_pairs"""),
+    "positions": (["shaped"], f"""
+        SELECT id, k, n, pos // nullif(n2, 0) AS i, pos % nullif(n2, 0) AS j FROM (
+            SELECT *, {_POS} AS pos FROM shaped, (SELECT range AS k FROM range(784)))"""),
+    "cells": (["positions", "words1", "words2"], """
+        SELECT id, k, CASE WHEN w2 IS NOT NULL THEN w1 END AS w1, CASE WHEN w1 IS NOT NULL THEN w2 END AS w2
+        FROM positions LEFT JOIN words1 USING (id, i) LEFT JOIN words2 USING (id, j)"""),
     "grid_words": (["token_pairs"], """
         SELECT DISTINCT word FROM (SELECT unnest(t1) AS word FROM token_pairs
                                    UNION ALL SELECT unnest(t2) FROM token_pairs)"""),

@@ -8,6 +8,7 @@ from pairmatch.functions import text as T
 from pairmatch.functions import vectors as X
 from pairmatch.functions.words import ALLOWED_NUMBERS, STOP_WORDS
 from pairmatch.operators import features, grid, joins, pairs as P, profile as R, sampling, taxonomy
+from pairmatch.operators.rows import exploded
 from pairmatch.plans import views as V
 from pairmatch.plans.blocks import NUMBERS_SQL, STOP_SQL, with_blocks
 from pairmatch.plans.registry import query
@@ -168,13 +169,18 @@ def attach_by_key(spark, sf):
     return joins.attach(orders, n.agg(F.count("*").alias("n")))
 
 
+_SHOWN = """
+    SELECT id, k AS cell, n, pos // nullif(n2, 0) AS i, pos % nullif(n2, 0) AS j FROM (
+        SELECT *, CASE WHEN n <= 784 THEN k ELSE
+            (((2 * (k // 28) * (L - 1) + 27) // 54) * L + ((2 * (k % 28) * (L - 1) + 27) // 54)) % n
+            END AS pos FROM shaped, (SELECT range AS k FROM range(784)) WHERE k < n)"""
+
+
 @query("token_cross", with_blocks("""
-    SELECT id, cell, n, CASE WHEN n1 * n2 > 0 THEN t1[pos // n2 + 1] END AS w1,
-           CASE WHEN n1 * n2 > 0 THEN t2[pos % n2 + 1] END AS w2
-    FROM (SELECT *, CASE WHEN n <= 784 THEN k ELSE
-              (((2 * (k // 28) * (L - 1) + 27) // 54) * L + ((2 * (k % 28) * (L - 1) + 27) // 54)) % n
-              END AS pos, k AS cell
-          FROM shaped, (SELECT range AS k FROM range(784)) WHERE k < n)""", "shaped"))
+    SELECT id, cell, n, CASE WHEN w2 IS NOT NULL THEN w1 END AS w1,
+           CASE WHEN w1 IS NOT NULL THEN w2 END AS w2
+    FROM shown LEFT JOIN words1 USING (id, i) LEFT JOIN words2 USING (id, j)""",
+    "shaped", "words1", "words2", "shown", own={"shown": _SHOWN}))
 def token_cross(spark, sf):
     cells = grid.grid_cells(V.token_pairs(spark, sf))
     return cells.select("id", F.col("cell").cast("long").alias("cell"), "n", "w1", "w2")
@@ -198,7 +204,7 @@ def vector_lookup(spark, sf):
     FROM (SELECT doc_id, unnest(tokens) AS w FROM doc_tokens)
     WHERE w NOT IN ({STOP_SQL}) OR w IN ({NUMBERS_SQL}) GROUP BY doc_id""", "doc_tokens"))
 def stopword_filter_join(spark, sf):
-    rows = V.doc_tokens(spark, sf).select("doc_id", F.explode("tokens").alias("word"))
+    rows = exploded(V.doc_tokens(spark, sf), "tokens", "word", "doc_id")
 
     def words(values):
         return spark.createDataFrame([(w,) for w in values], "word string")
@@ -406,7 +412,7 @@ def union_chunks(spark, sf):
 def wordlist_difference(spark, sf):
     def words(name):
         tokens = T.split_whitespace(F.lower("text"))
-        return V.load(spark, sf, name).select(F.explode(tokens).alias("word"))
+        return exploded(V.load(spark, sf, name), tokens, "word")
 
     return P.wordlist_difference(words("documents"), words("benchmark").distinct())
 

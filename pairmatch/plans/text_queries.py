@@ -9,6 +9,7 @@ from pairmatch.functions.stem import stem_vocabulary
 from pairmatch.functions.words import effective_stop_words
 from pairmatch.operators import features, pairs as P, tfidf
 from pairmatch.operators.groups import apply_groups
+from pairmatch.operators.rows import exploded
 from pairmatch.plans import views as V
 from pairmatch.plans import blocks as B
 from pairmatch.plans.blocks import with_blocks
@@ -45,7 +46,7 @@ def drop_stopwords(spark, sf):
 @query("stem_tokens", with_blocks("SELECT word, stem FROM stems", "doc_tokens", "stems", own={
     "vocabulary": "SELECT DISTINCT unnest(tokens) AS word FROM doc_tokens"}))
 def stem_tokens(spark, sf):
-    words = V.doc_tokens(spark, sf).select(F.explode("tokens").alias("word")).distinct()
+    words = exploded(V.doc_tokens(spark, sf), "tokens", "word").distinct()
     return stem_vocabulary(words)
 
 
@@ -99,7 +100,7 @@ def strip_accents(spark, sf):
     GROUP BY gram""", "doc_tokens", "words", own={
     "words": "SELECT doc_id, unnest(tokens) AS w, generate_subscripts(tokens, 1) AS pos FROM doc_tokens"}))
 def ngrams(spark, sf):
-    grams = V.doc_tokens(spark, sf).select(F.explode(T.ngrams(F.col("tokens"), 2)).alias("gram"))
+    grams = exploded(V.doc_tokens(spark, sf), T.ngrams(F.col("tokens"), 2), "gram")
     return grams.groupBy("gram").agg(F.count("*").alias("n"))
 
 

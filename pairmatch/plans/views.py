@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pairmatch.functions import text as T
 from pairmatch.operators import features, pairs as P
+from pairmatch.operators.rows import exploded
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,7 +105,7 @@ def word_vectors(words: DataFrame, embeddings: DataFrame) -> DataFrame:
 def pair_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word vectors for the words of the text pairs."""
     tokens = token_pairs(spark, sf_dir)
-    words = tokens.select(F.explode(F.array_union("tokens1", "tokens2")).alias("word")).distinct()
+    words = exploded(tokens, F.array_union("tokens1", "tokens2"), "word").distinct()
     return word_vectors(words, load(spark, sf_dir, "embeddings"))
 
 
