@@ -241,11 +241,11 @@ def grid_fit(
     return cv.fit(stratified_folds(df, folds, label, key, name=FOLD))
 
 
-def grid_scores(model: CrossValidatorModel) -> list[dict]:
-    """Setting and mean score of each grid point."""
+def grid_scores(model: CrossValidatorModel) -> list[tuple[str, float]]:
+    """Setting and mean log loss of each grid point."""
     return [
-        {**{p.name: v for p, v in params.items()}, "log_loss": score}
-        for params, score in zip(model.getEstimatorParamMaps(), model.avgMetrics)
+        (", ".join(f"{p.name}={v}" for p, v in params.items()), float(metric))
+        for params, metric in zip(model.getEstimatorParamMaps(), model.avgMetrics)
     ]
 
 

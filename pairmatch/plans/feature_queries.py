@@ -10,6 +10,7 @@ from pairmatch.plans import views as V
 from pairmatch.plans.blocks import with_blocks
 from pairmatch.plans.registry import query
 from pairmatch.plans.table_queries import word_pairs
+from pairmatch.session import written
 
 
 def _z(c: str) -> str:
@@ -47,7 +48,7 @@ def minmax_scale(spark, sf):
 @query("doc_frequency", with_blocks("SELECT term, df FROM df", "df"))
 def doc_frequency(spark, sf):
     docs = tfidf.documents(V.cleaned_pairs(spark, sf))
-    return tfidf.doc_frequency(tfidf.term_counts(docs))
+    return tfidf.doc_frequency(tfidf.term_counts(written(docs, "tokens")))
 
 
 @query("sort_term_weights", with_blocks("""
@@ -88,15 +89,16 @@ def word_similarity_grid(spark, sf):
 
 def model_table(spark, sf):
     """Grid, counts, overlap, scores, tf-idf sums and scaled columns of the text pairs."""
-    basic = V.basic_features(spark, sf)
-    weights = tfidf.tfidf_features(tfidf.documents(V.cleaned_pairs(spark, sf)))
-    cells = grid.similarity_grid(V.token_pairs(spark, sf), V.pair_vectors(spark, sf))
+    basic = written(V.basic_features(spark, sf), "basic")
+    weights = tfidf.tfidf_features(tfidf.documents(basic))
     df = joins.join_scores(
         basic.drop("q1nopunct", "q2nopunct", "qid1", "qid2"), V.pair_scores(spark, sf)
     )
-    df = joins.attach(joins.attach(df, weights), cells)
-    df = P.impute(df, [*P.IMPUTED, "sem_similarity"])
-    return features.minmax(df, features.SCALED_FROM)
+    df = P.impute(joins.attach(df, weights), [*P.IMPUTED, "sem_similarity"])
+    scaled = features.minmax(written(df, "stage"), features.SCALED_FROM)
+    tokens = basic.select("id", *V.token_columns())
+    cells = grid.similarity_grid(tokens, V.vectors_for(spark, sf, tokens))
+    return joins.attach(scaled, cells)
 
 
 @query("select_features", with_blocks(f"""
@@ -109,7 +111,7 @@ def model_table(spark, sf):
           FROM (SELECT basic.*, coalesce(weight_q1_sw, 0) AS sw1, coalesce(weight_q2_sw, 0) AS sw2
                 FROM basic LEFT JOIN tfidf USING (id)) b
           LEFT JOIN pair_scores s ON s.id = b.id AND s.type = b.type)
-    JOIN (SELECT id, round_even(sum(v), 4) AS grid_total FROM grid GROUP BY id) USING (id)""",
+    JOIN (SELECT id, round_even(sum(v), 5) AS grid_total FROM grid GROUP BY id) USING (id)""",
     "basic", "tfidf", "pair_scores", "grid"))
 def select_features(spark, sf):
     vector = features.feature_vector(model_table(spark, sf))
@@ -117,7 +119,7 @@ def select_features(spark, sf):
     names = ["wrdmatchpct", "sem", "word_order", *[f"scaled_{i}" for i in range(1, 6)]]
     total = F.aggregate(F.slice("v", 1, 784), F.lit(0.0), lambda a, x: a + F.bround(x, 5))
     return v.select(
-        "id", F.size("v").cast("long").alias("n"), F.bround(total, 4).alias("grid_total"),
+        "id", F.size("v").cast("long").alias("n"), F.bround(total, 5).alias("grid_total"),
         *[F.bround(F.get("v", F.lit(784 + i)), 6).alias(n) for i, n in enumerate(names)],
     )
 

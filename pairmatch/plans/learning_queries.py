@@ -187,7 +187,7 @@ def grid_search_trees(spark, sf):
     trees, settings = learn.tree_grid(rounds=2)
     trees = trees.setMaxDepth(3)
     fitted = learn.grid_fit(rows, trees, settings, folds=5, parallelism=4)
-    return spark.createDataFrame(learn.grid_scores(fitted))
+    return spark.createDataFrame(learn.grid_scores(fitted), "setting string, log_loss double")
 
 
 @query("grid_search_mlp")
@@ -197,7 +197,7 @@ def grid_search_mlp(spark, sf):
     rows = learn.assembler(names).transform(scaled)
     mlp, settings = learn.perceptron_grid(len(names))
     fitted = learn.grid_fit(rows, mlp, settings, folds=3, parallelism=4)
-    return spark.createDataFrame(learn.grid_scores(fitted))
+    return spark.createDataFrame(learn.grid_scores(fitted), "setting string, log_loss double")
 
 
 @query("batch_score")

@@ -481,7 +481,8 @@ def sense_cross(spark, sf):
 def common_ancestor_join(spark, sf):
     pairs, lemma, edge = word_pairs(spark, sf)
     synsets = taxonomy.sense_pairs(pairs, lemma).select("s1", "s2").distinct()
-    return taxonomy.common_ancestors(synsets, taxonomy.build_closure(lemma, edge))
+    common = taxonomy.common_ancestors(synsets, taxonomy.build_closure(lemma, edge))
+    return common.select("s1", "s2", "ancestor", "d1", "d2")
 
 
 @query("best_sense_pair", with_blocks("""
@@ -502,4 +503,4 @@ def most_similar_word(spark, sf):
     )
     closure = taxonomy.build_closure(lemma, edge)
     best = taxonomy.most_similar(sentences, lemma, closure, taxonomy.PHI)
-    return best.withColumn("sim", F.bround("sim", 6))
+    return best.select("id", "w1", "w2", F.bround("sim", 6).alias("sim"))

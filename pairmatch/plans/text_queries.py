@@ -18,14 +18,14 @@ from pairmatch.plans.registry import query
 
 @query("normalize_text", f"SELECT doc_id, {B.normalized('text')} AS text FROM documents")
 def normalize_text(spark, sf):
-    return V.load(spark, sf, "documents").select(
+    return V.load_texts(spark, sf, "documents", "doc_id").select(
         "doc_id", T.normalize_text(F.col("text")).alias("text")
     )
 
 
 @query("strip_punct", f"SELECT doc_id, {B.without_punct('text')} AS text FROM documents")
 def strip_punct(spark, sf):
-    return V.load(spark, sf, "documents").select("doc_id", T.strip_punct(F.col("text")).alias("text"))
+    return V.load_texts(spark, sf, "documents", "doc_id").select("doc_id", T.strip_punct(F.col("text")).alias("text"))
 
 
 @query("expand_thousands", f"""
@@ -40,7 +40,7 @@ def expand_thousands(spark, sf):
     FROM doc_tokens""", "doc_tokens"))
 def drop_stopwords(spark, sf):
     text = T.clean_text(F.col("text"))
-    return V.load(spark, sf, "documents").select("doc_id", T.drop_stopwords(text).alias("text"))
+    return V.load_texts(spark, sf, "documents", "doc_id").select("doc_id", T.drop_stopwords(text).alias("text"))
 
 
 @query("stem_tokens", with_blocks("SELECT word, stem FROM stems", "doc_tokens", "stems", own={
@@ -53,7 +53,7 @@ def stem_tokens(spark, sf):
 @query("split_words", "SELECT page_id, len(string_split(html, ' ')) AS n FROM pages")
 def split_words(spark, sf):
     words = T.split_words(F.col("html"))
-    return V.load(spark, sf, "pages").select("page_id", F.size(words).cast("long").alias("n"))
+    return V.load_texts(spark, sf, "pages", "page_id").select("page_id", F.size(words).cast("long").alias("n"))
 
 
 @query("tokenize", with_blocks(
@@ -88,7 +88,7 @@ def char_count(spark, sf):
 
 @query("strip_accents", "SELECT doc_id, strip_accents(text) AS text FROM documents")
 def strip_accents(spark, sf):
-    return V.load(spark, sf, "documents").select(
+    return V.load_texts(spark, sf, "documents", "doc_id").select(
         "doc_id", T.strip_accents(F.col("text")).alias("text")
     )
 
@@ -135,7 +135,7 @@ def apply_groups_query(spark, sf):
         n_words = frame["text"].str.count(separator) + 1
         return frame[["doc_id"]].assign(n_words=n_words)
 
-    docs = V.load(spark, sf, "documents").select("doc_id", "text")
+    docs = V.load_texts(spark, sf, "documents", "doc_id").select("doc_id", "text")
     return apply_groups(docs, count_words, "doc_id long, n_words long", separator=" ")
 
 

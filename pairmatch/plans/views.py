@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairmatch.functions import text as T
 from pairmatch.operators import features, pairs as P
 from pairmatch.operators.rows import exploded
+from pairmatch.session import written
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,9 +16,20 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def load_texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table with long texts, spread over the cores when it comes in few files.
+
+    One task reads a row group, so a table of one small file would be cleaned by one task. A
+    table of many files is left as it is: it needs no shuffle.
+    """
+    df = load(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a labelled document and the next one, with whole texts."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = load_texts(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
     labels = load(spark, sf_dir, "labels").select("doc_id", "quality")
     first = docs.join(labels, "doc_id").select(
         F.col("doc_id").alias("id"), F.col("doc_id").alias("qid1"),
@@ -43,18 +55,19 @@ def basic_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.basic_features(text_pairs(spark, sf_dir))
 
 
+def token_columns() -> list[Column]:
+    """Tokens of the cleaned texts."""
+    return [T.tokenize(F.col(f"q{s}nopunct")).alias(f"tokens{s}") for s in (1, 2)]
+
+
 def token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token arrays of both sides."""
-    return cleaned_pairs(spark, sf_dir).select(
-        "id",
-        T.tokenize(F.col("q1nopunct")).alias("tokens1"),
-        T.tokenize(F.col("q2nopunct")).alias("tokens2"),
-    )
+    return cleaned_pairs(spark, sf_dir).select("id", *token_columns())
 
 
 def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned tokens of every document."""
-    docs = load(spark, sf_dir, "documents")
+    docs = load_texts(spark, sf_dir, "documents", "doc_id")
     return docs.select("doc_id", T.tokenize(T.clean_text(F.col("text"))).alias("tokens"))
 
 
@@ -104,7 +117,11 @@ def word_vectors(words: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 def pair_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word vectors for the words of the text pairs."""
-    tokens = token_pairs(spark, sf_dir)
+    return vectors_for(spark, sf_dir, token_pairs(spark, sf_dir))
+
+
+def vectors_for(spark: SparkSession, sf_dir: str, tokens: DataFrame) -> DataFrame:
+    """Word vectors for the words of token pairs."""
     words = exploded(tokens, F.array_union("tokens1", "tokens2"), "word").distinct()
     return word_vectors(words, load(spark, sf_dir, "embeddings"))
 
@@ -112,7 +129,8 @@ def pair_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def taxonomy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """``lemma`` and ``edge``: places (region, nation, supplier) and goods (type, brand).
 
-    A brand sold in several types is one word with several senses.
+    A brand sold in several types is one word with several senses. Both are stored, as the
+    input tables they stand for would be.
     """
     region = load(spark, sf_dir, "region").select(
         F.lower("r_name").alias("word"),
@@ -143,11 +161,11 @@ def taxonomy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     edge = nodes.select(F.col("synset").alias("child"), "parent").unionByName(top)
     senses = Window.partitionBy("word").orderBy("synset")
     lemma = nodes.select("word", "synset", F.row_number().over(senses).alias("sense_no"))
-    return lemma, edge
+    return written(lemma, "lemma"), written(edge, "edge")
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(id, tokens1, tokens2)``: what an order and the next one contain, in words."""
+    """``(id, tokens1, tokens2)``: what an order and the next one contain, in words; stored."""
     lines = load(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"
     )
@@ -176,4 +194,4 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = tokens.select(
         (F.col("l_orderkey") - 1).alias("id"), F.col("tokens").alias("tokens2")
     )
-    return first.join(second, "id")
+    return written(first.join(second, "id"), "sentences")
