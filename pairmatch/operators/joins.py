@@ -27,20 +27,22 @@ def salted_join(
     how: str = "inner",
     salts: int = SALTS,
 ) -> DataFrame:
-    """Equi-join of a large ``left`` with a ``right`` that is unique by key.
+    """Equi-join of a large ``left`` with a smaller ``right``.
 
-    Rows of a hot key are spread over ``salts`` partitions by ``spread`` (a column of the left
-    side); the one right row of that key is repeated as often. ``hot`` comes from ``hot_keys``
-    and has at most ``1 / share`` rows, so it is safe to broadcast. Which keys are called hot
-    changes only the placement of rows, never the result.
+    Left rows of a hot key are spread over ``salts`` partitions by ``spread`` (a column of the
+    left side); the right rows of that key are repeated as often. ``hot`` comes from
+    ``hot_keys`` on all or some of the ``on`` columns and has at most ``1 / share`` rows, so it
+    is safe to broadcast. Which keys are called hot changes only the placement of rows, never
+    the result.
     """
-    marked = F.broadcast(hot.select(*on).withColumn("_hot", F.lit(True)))
+    marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    by = hot.columns
     place = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-    salted_left = left.join(marked, on, "left").withColumn(
+    salted_left = left.join(marked, by, "left").withColumn(
         "_salt", F.coalesce(place, F.lit(0))
     )
-    salted_right = right.join(marked, on, "left").withColumn(
+    salted_right = right.join(marked, by, "left").withColumn(
         "_salt", F.explode(F.coalesce(copies, F.array(F.lit(0))))
     )
     return (

@@ -134,7 +134,7 @@ def _tables(spark, sf):
 
 def _info(sentences):
     words = sentences.select(F.concat("tokens1", "tokens2").alias("tokens"))
-    return R.info_content(R.word_frequency(words)).select("word", "info")
+    return written(R.info_content(R.word_frequency(words)), "info")
 
 
 @query("word_similarity", with_blocks(

@@ -231,6 +231,11 @@ def test_sentence_similarity(spark, animals):
     # joint (cat, tiger): r1 = (0, 0), r2 = (1, 1)
     assert order[2] == pytest.approx(0.0)
     assert order[5] is None
+    info = spark.createDataFrame([("cat", 3, 0.5), ("tiger", 1, 0.8)], "word string, n long, info double")
+    weighted = taxonomy.semantic_similarity(df, lemma, closure, info).where("id = 2").first()[1]
+    # vectors (.25, .2*.8*.5) and (.2*.5*.8, .64)
+    a, b = np.array([0.25, 0.08]), np.array([0.08, 0.64])
+    assert weighted == pytest.approx(a @ b / np.sqrt((a @ a) * (b @ b)))
     one = spark.createDataFrame([(1, ["cat"], ["cat"])], df.schema)
     assert taxonomy.word_order_similarity(one, lemma, closure).first()[1] is None
 
