@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -57,10 +58,18 @@ ACCENTED, UNACCENTED = _accent_table()
 
 
 def normalize_text(text: Column) -> Column:
-    """Lower-case, expand contractions and a few abbreviations, collapse white space."""
-    return reduce(
-        lambda c, rule: F.regexp_replace(c, rule[0], rule[1]), NORMALIZE_RULES, F.lower(text)
-    )
+    """Lower-case, expand contractions and a few abbreviations, collapse white space.
+
+    Most rules are plain strings; replacing those needs no regular expression.
+    """
+
+    def rewrite(c: Column, rule: tuple[str, str]) -> Column:
+        pattern, new = rule
+        if re.search(r"[][\\.^$*+?{}()|]", pattern):
+            return F.regexp_replace(c, pattern, new)
+        return F.replace(c, F.lit(pattern), F.lit(new))
+
+    return reduce(rewrite, NORMALIZE_RULES, F.lower(text))
 
 
 def strip_punct(text: Column) -> Column:
