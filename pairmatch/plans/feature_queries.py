@@ -13,6 +13,12 @@ from pairmatch.plans.table_queries import word_pairs
 from pairmatch.session import written
 
 
+def _counts(spark, sf):
+    """Word and character counts, stored: statistics and rows are two reads."""
+    counted = features.count_features(V.cleaned_pairs(spark, sf))
+    return written(counted.select("id", *features.COUNT_COLUMNS), "counts")
+
+
 def _z(c: str) -> str:
     return f'round_even(("{c}" - avg("{c}") OVER ()) / stddev_pop("{c}") OVER (), 5) AS "{c}_zscore"'
 
@@ -20,7 +26,7 @@ def _z(c: str) -> str:
 @query("zscore", with_blocks(
     f"SELECT id, {', '.join(_z(c) for c in features.COUNT_COLUMNS)} FROM basic", "basic"))
 def zscore(spark, sf):
-    df = features.count_features(V.cleaned_pairs(spark, sf))
+    df = _counts(spark, sf)
     scored = features.zscore(df, features.COUNT_COLUMNS)
     return scored.select("id", *[f"{c}_zscore" for c in features.COUNT_COLUMNS])
 
@@ -40,7 +46,7 @@ def _scaled_list(lo, hi, columns=features.COUNT_COLUMNS):
 @query("minmax_scale", with_blocks(
     f"SELECT id, {_scaled_list(-1.0, 1.0)} FROM basic", "basic"))
 def minmax_scale(spark, sf):
-    df = features.count_features(V.cleaned_pairs(spark, sf))
+    df = _counts(spark, sf)
     scaled = features.minmax(df, features.COUNT_COLUMNS, -1.0, 1.0)
     return scaled.select("id", *[F.bround(f"scaled_{i}", 6).alias(f"scaled_{i}") for i in range(4)])
 
@@ -134,7 +140,7 @@ def _tables(spark, sf):
 
 def _info(sentences):
     words = sentences.select(F.concat("tokens1", "tokens2").alias("tokens"))
-    return written(R.info_content(R.word_frequency(words)), "info")
+    return written(R.info_content(written(R.word_frequency(words), "frequency")), "info")
 
 
 @query("word_similarity", with_blocks(

@@ -12,6 +12,7 @@ from pairmatch.operators.rows import exploded
 from pairmatch.plans import views as V
 from pairmatch.plans.blocks import NUMBERS_SQL, STOP_SQL, with_blocks
 from pairmatch.plans.registry import query
+from pairmatch.session import written
 
 
 @query("tag_type", "SELECT doc_id, 'TR' AS type FROM documents")
@@ -352,7 +353,7 @@ def word_frequency(spark, sf):
     SELECT word, n, round_even(1 - ln(n + 1) / ln((SELECT sum(n) FROM freq) + 1), 6) AS info FROM freq""")
 def information_content(spark, sf):
     docs = V.load(spark, sf, "documents").select(T.split_whitespace(F.col("text")).alias("tokens"))
-    info = R.info_content(R.word_frequency(docs))
+    info = R.info_content(written(R.word_frequency(docs), "frequency"))
     return info.withColumn("info", F.bround("info", 6))
 
 

@@ -33,7 +33,7 @@ def plan(df):
 
 
 def test_native_operators_have_no_python(spark):
-    for name in ("clean_flow", "zscore", "ngrams", "box_summary", "stem_tokens"):
+    for name in ("clean_flow", "ngrams", "stem_tokens", "token_cross", "precision_recall_f1"):
         assert "Python" not in plan(queries()[name](spark, SMALL)), name
 
 

@@ -15,9 +15,8 @@ def test_pair_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame(PAIRS, S.PAIR_SCHEMA)
     S.write_stage(df, str(tmp_path / "csv"), fmt="csv")
     back = S.read_pairs(spark, str(tmp_path / "csv")).orderBy("id").collect()
-    assert [r["question1"] for r in back] == ['say "hi", twice', "", "10k steps"] or [
-        r["question1"] for r in back
-    ] == ['say "hi", twice', None, "10k steps"]
+    # an empty text reads back as missing; fill_text makes it empty again
+    assert [r["question1"] for r in back] == ['say "hi", twice', None, "10k steps"]
     assert [r["question2"] for r in back] == [" two\nlines ", "back\\slash", None]
 
 
