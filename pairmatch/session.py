@@ -40,8 +40,8 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df, name: str):
+def written(df, name: str, compression: str = "zstd"):
     """Cut the lineage of ``df``: write it as a Parquet table and read it back."""
     path = work_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -29,9 +29,9 @@ def test_salted_join_equals_a_plain_join(spark, how):
     )
     right = spark.createDataFrame([("hot", 1), ("w0", 2), ("w3", 3), ("x", 4)], "word string, v int")
     counts = left.groupBy("word").agg(F.count("*").alias("n"))
-    hot = joins.hot_keys(counts, ["word"], share=0.3)
+    hot = joins.hot_keys(counts, ["word"])
     assert [r[0] for r in hot.collect()] == ["hot"]
-    got = joins.salted_join(left, right, ["word"], hot, F.col("id"), how, salts=4)
+    got = joins.salted_join(left, right, ["word"], hot, F.col("id"), how)
     plain = left.join(right, "word", how)
     assert sorted(got.collect(), key=repr) == sorted(plain.collect(), key=repr)
 
