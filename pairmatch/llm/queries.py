@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairmatch.llm.decontamination import contamination
 from pairmatch.llm.exact_dedup import exact_duplicates
+from pairmatch.llm.minhash import near_duplicates
 from pairmatch.llm.mixing import mixed
 from pairmatch.llm.ring import ring_shards
 from pairmatch.llm.token_counts import prefix_counts
@@ -199,3 +201,63 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit")
     )
+
+
+def is_contaminated():
+    """Hit words make up a twentieth of the text."""
+    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+
+
+@query(
+    "op9_decontamination",
+    r"""
+    WITH d AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+        FROM documents
+    ), b AS (
+        SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+        FROM benchmark
+    ), windows AS (
+        SELECT DISTINCT item_id, least(len(w), 13) AS n,
+               array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS phrase
+        FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i
+              FROM b WHERE len(w) > 0)
+    ), lengths AS (
+        SELECT DISTINCT n FROM windows
+    ), found AS (
+        SELECT s.doc_id, s.i, s.n, item_id
+        FROM (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS phrase
+              FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+                    FROM d, lengths WHERE len(w) >= n)) s
+        JOIN windows USING (n, phrase)
+    ), hit AS (
+        SELECT doc_id, count(DISTINCT p) AS n_hit
+        FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id
+    ), items AS (
+        SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+        FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS name FROM found) GROUP BY doc_id
+    )
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit,
+           coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
+)
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in all documents."""
+    found = contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        is_contaminated().alias("contaminated"),
+    )
+
+
+@query("op10_near_duplicates")
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates of all documents."""
+    return near_duplicates(load(spark, sf_dir, "documents")).drop("h1", "h2")
