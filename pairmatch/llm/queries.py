@@ -11,7 +11,9 @@ from pairmatch.llm.exact_dedup import exact_duplicates
 from pairmatch.llm.minhash import near_duplicates
 from pairmatch.llm.mixing import mixed
 from pairmatch.llm.ring import ring_shards
+from pairmatch.llm.suffix_tree import fit_suffix_tree, score_texts
 from pairmatch.llm.token_counts import prefix_counts
+from pairmatch.llm.toxicity import classify, fit_chain
 from pairmatch.llm.url_filter import Rule, judge_urls
 from pairmatch.llm.warc_archive import read_archive, write_archive
 
@@ -261,3 +263,37 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates of all documents."""
     return near_duplicates(load(spark, sf_dir, "documents")).drop("h1", "h2")
+
+
+def held_out():
+    """Documents that the language model does not learn from; a null id is one of them."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return F.crc32(name.cast("binary")) % 10 == 0
+
+
+@query("op5_suffix_tree")
+def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a suffix tree learnt from nine tenths of them."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_suffix_tree(docs.where(~held_out()))
+    return score_texts(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score",
+    )
+
+
+CATEGORIES = ["low_quality", "toxic"]
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Texts with the categories of their labels."""
+    rows = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    return docs.select("doc_id", "text").join(rows, "doc_id")
+
+
+@query("op6_toxicity_chain")
+def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents."""
+    docs = load(spark, sf_dir, "documents")
+    chain = fit_chain(labelled_texts(docs, load(spark, sf_dir, "labels")), CATEGORIES)
+    return classify(docs, chain)
