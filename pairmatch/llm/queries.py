@@ -296,4 +296,6 @@ def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents."""
     docs = load(spark, sf_dir, "documents")
     chain = fit_chain(labelled_texts(docs, load(spark, sf_dir, "labels")), CATEGORIES)
-    return classify(docs, chain)
+    return classify(docs.select("doc_id", "text"), chain).select(
+        "doc.doc_id", *(f"p_{name}" for name in CATEGORIES), *CATEGORIES
+    )
