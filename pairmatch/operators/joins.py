@@ -71,15 +71,16 @@ def lookup_join(
     spread: Column,
     how: str = "inner",
     most: int = 100_000,
+    n: str = "n",
 ) -> DataFrame:
     """Join with a table that is small as a rule: broadcast up to ``most`` rows, else salted.
 
     The rows of ``right`` are counted first, so what is broadcast has a bound. ``counts`` has
-    ``n`` left rows per key and serves the salted join.
+    the number ``n`` of left rows per key and serves the salted join.
     """
-    if right.limit(most + 1).count() <= most:
+    if right.count() <= most:
         return left.join(F.broadcast(right), on, how)
-    return salted_join(left, right, on, hot_keys(counts, on), spread, how)
+    return salted_join(left, right, on, hot_keys(counts, on, n), spread, how)
 
 
 def join_scores(df: DataFrame, scores: DataFrame, on: tuple[str, ...] = ("id", "type")) -> DataFrame:
