@@ -27,13 +27,14 @@ BANDS, ROWS = 40, 5
 BINS = BANDS * ROWS
 #: Centres per bucket in each round; the last number holds for all later rounds. Spark thins out
 #: rows before they meet for limits up to 1000 only.
-CENTRES = (1, 32, 128, 512)
+CENTRES = (1, 128, 512)
 #: Words hashed at once.
 CHUNK_WORDS = 1 << 18
 #: Word hashes that a worker remembers.
 REMEMBERED = 1 << 20
-#: Rows of a list of edges or ids up to which it is broadcast.
+#: Rows of a list of edges or ids, and hashes of a list of sets, up to which it is broadcast.
 MOST_BROADCAST = 1_000_000
+MOST_HASHES = 4_000_000
 
 
 class WordHashes(dict):
@@ -218,20 +219,24 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs ``(a, b)`` whose full sets are similar enough; ``b`` is the star's centre.
 
-    The set of ``a`` joins its edges where it is read if these are few; the set of a centre
-    meets its many edges in a salted join.
+    The set of ``a`` joins its edges where it is read if these are few. The centres' sets are
+    sent there as well if they are small together; else they meet their edges in a salted join.
     """
     by_a = pairs.groupBy("a").agg(F.count("*").alias("n"))
     one = lookup_join(
         sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")),
         pairs, ["a"], by_a, F.col("a"), most=MOST_BROADCAST,
     )
-    by_b = pairs.groupBy("b").agg(F.count("*").alias("n"))
+    by_b = written(pairs.groupBy("b").agg(F.count("*").alias("n")), "centre-sizes")
     centres = lookup_join(
         sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")),
         by_b.select("b"), ["b"], by_b, F.col("b"), how="left_semi", most=MOST_BROADCAST,
     )
-    both = salted_join(one, centres, ["b"], hot_keys(by_b, ["b"]), F.col("a"))
+    hashes = centres.agg(F.coalesce(F.sum(F.size("sb")), F.lit(0))).first()[0]
+    if hashes <= MOST_HASHES:
+        both = one.join(F.broadcast(centres), "b")
+    else:
+        both = salted_join(one, centres, ["b"], hot_keys(by_b, ["b"]), F.col("a"))
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - common
     return both.where(common * 100 >= union * percent).select("a", "b")
@@ -246,16 +251,20 @@ def bucket_members(classes: DataFrame) -> DataFrame:
     rows = classes.select("node", "n", F.explode("bands").alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     sizes = written(sizes, "bucket-sizes")
-    hot = hot_keys(sizes, ["key"], n="size")
-    shared = salted_join(rows, sizes, ["key"], hot, F.col("node"))
+    counts = sizes.withColumnRenamed("size", "n")
+    shared = lookup_join(rows, sizes, ["key"], counts, F.col("node"), most=MOST_BROADCAST)
     score = F.sum("size").over(Window.partitionBy("node"))
     return written(shared.withColumn("score", score).drop("size"), "buckets")
 
 
-def near_lengths(percent: int = PERCENT):
-    """Sets of more different sizes cannot be similar enough."""
-    small, large = F.least("n", "n2"), F.greatest("n", "n2")
-    return small * 100 >= large * percent
+def one_each(keys: DataFrame) -> DataFrame:
+    """Counts for a join in which no key is hot."""
+    return keys.withColumn("n", F.lit(1))
+
+
+def may_link(shared, sizes, percent: int = PERCENT):
+    """Whether sets with ``sizes`` hashes in all can be linked by at most ``shared`` common ones."""
+    return shared * (100 + percent) >= sizes * percent
 
 
 def star_edges(members: DataFrame, centres: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -264,12 +273,82 @@ def star_edges(members: DataFrame, centres: DataFrame, sizes: DataFrame) -> Data
     ``sizes`` has the number ``n`` of members per bucket. Of an edge between two centres one
     direction is enough, and earlier centres have been compared with everyone.
     """
-    joined = salted_join(members, centres, ["key"], hot_keys(sizes, ["key"]), F.col("node"))
-    apart = (F.col("comp") != F.col("comp2")) & near_lengths() & ~F.col("central")
+    joined = lookup_join(
+        members, centres, ["key"], sizes, F.col("node"), most=MOST_BROADCAST
+    )
+    apart = (F.col("comp") != F.col("comp2")) & ~F.col("central")
+    apart &= may_link(F.least("shared", "shared2"), F.col("n") + F.col("n2"))
     one_way = ~F.col("chosen") | (F.col("node") < F.col("b"))
     return joined.where(apart & one_way).select(F.col("node").alias("a"), "b").distinct()
 
 
+def with_components(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Add the component of every member and its number of classes."""
+    counts = labels.groupBy("comp").agg(F.count("*").alias("comp_size"))
+    known = written(labels.join(counts, "comp"), "component-sizes")
+    joined = lookup_join(
+        members, known, ["node"], one_each(known), F.col("key"), "left", MOST_BROADCAST
+    )
+    return written(
+        joined.withColumns(
+            {
+                "comp": F.coalesce("comp", "node"),
+                "comp_size": F.coalesce("comp_size", F.lit(1)),
+            }
+        ),
+        "placed",
+    )
+
+
+def open_buckets(placed: DataFrame) -> DataFrame:
+    """``(key, n, least)`` of the buckets with classes still to compare: members that were no
+    centre yet, of two components or more. ``least`` is the size of the smallest set."""
+    waiting = F.when(~F.col("central"), F.col("comp"))
+    state = placed.groupBy("key").agg(
+        F.min(waiting).alias("low"), F.max(waiting).alias("high"), F.count("*").alias("n"),
+        F.min("n").alias("least"),
+    )
+    return written(state.where("low < high").select("key", "n", "least"), "open")
+
+
+def in_buckets(placed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The members of these buckets, with the size of the smallest set there."""
+    return lookup_join(
+        placed, sizes.select("key", "least"), ["key"], sizes, F.col("node"), most=MOST_BROADCAST
+    )
+
+
+def still_possible(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members of open buckets that may have a partner at all.
+
+    Hashes that only one of the sets at hand has are in no intersection. What is left of a
+    set, ``shared``, bounds its intersections, and a member is dropped where even the smallest
+    set of its bucket is too large for that. In a group of copies with many edits each, this
+    leaves few of the pairs that are a little too different.
+    """
+    nodes = written(placed.select("node").distinct(), "open-nodes")
+    own = lookup_join(
+        sets, nodes, ["node"], one_each(nodes), F.col("node"), "left_semi", MOST_BROADCAST
+    )
+    once = (
+        own.select("node", F.explode("shingles").alias("h"))
+        .groupBy("h")
+        .agg(F.count("*").alias("n"), F.min("node").alias("node"))
+        .where("n = 1")
+    )
+    alone = written(once.groupBy("node").agg(F.count("*").alias("alone")), "alone")
+    joined = lookup_join(
+        placed, alone, ["node"], one_each(alone), F.col("key"), "left", MOST_BROADCAST
+    )
+    shared = F.col("n") - F.coalesce("alone", F.lit(0))
+    return written(
+        joined.withColumn("shared", shared)
+        .where(may_link(F.col("shared"), F.col("n") + F.col("least")))
+        .drop("alone"),
+        "possible",
+    )
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of texts linked by similar sets of word shingles.
 
@@ -278,9 +357,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     to one centre, so the number of pairs is linear in the number of members. Edges are
     confirmed on full sets, confirmed ones make components. A star alone would lose links
     between members, so further rounds follow: buckets that still hold several components get
-    more centres, which members of *other* components are compared with, until every member of
-    such a bucket has been a centre. So every pair that shares a bucket is either in one
-    component or has been compared.
+    more centres, those of small components first, which members of *other* components are
+    compared with, until the members left are of one component. So every pair that shares a
+    bucket is in one component, has been compared, or cannot be similar enough for want of
+    hashes that another set has.
 
     Returns a row per row: ``(doc_id, n_shingles, component_id, kept, h1, h2)``, the last two
     naming the set. Hot classes, buckets and centres are salted.
@@ -311,37 +391,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     edges = links = None
     labels = classes.select("node", F.col("node").alias("comp")).where("false")
-    members = members.withColumn("central", F.lit(False))
-    for per_bucket in chain(CENTRES, repeat(CENTRES[-1])):
-        placed = written(
-            members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")),
-            "placed",
-        )
-        state = placed.groupBy("key").agg(
-            F.min("comp").alias("low"), F.max("comp").alias("high"),
-            F.count_if(~F.col("central")).alias("left"), F.count("*").alias("n"),
-        )
-        sizes = written(state.where("low < high and left > 1").select("key", "n"), "open")
+    members = members.withColumns({"central": F.lit(False), "shared": F.col("n")})
+    for number, per_bucket in enumerate(chain(CENTRES, repeat(CENTRES[-1]))):
+        placed = with_components(members, labels)
+        sizes = open_buckets(placed)
         if sizes.isEmpty():
             break
-        hot = hot_keys(sizes, ["key"])
-        open_ = salted_join(placed, sizes.select("key"), ["key"], hot, F.col("node"), "left_semi")
-        order = Window.partitionBy("key").orderBy(F.desc("score"), "node")
+        placed = in_buckets(placed, sizes)
+        if number == 1:
+            placed = still_possible(placed, sets).drop("least")
+            sizes = open_buckets(placed)
+            placed = in_buckets(placed, sizes)
+        # members of the largest component need not become centres: the others meet them
+        order = Window.partitionBy("key").orderBy("comp_size", F.desc("score"), "node")
         chosen = written(
-            open_.where(~F.col("central"))
+            placed.where(~F.col("central"))
             .withColumn("rank", F.row_number().over(order))
             .where(F.col("rank") <= per_bucket)
-            .select("key", "node", "n", "comp"),
+            .select("key", "node", "n", "comp", "shared"),
             "centres",
         )
-        marked = open_.join(
-            chosen.select("key", "node", F.lit(True).alias("chosen")), ["key", "node"], "left"
-        ).fillna(False, ["chosen"])
-        members = written(marked, "members")
-        centres = chosen.select(
-            "key", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("comp").alias("comp2")
+        mark = chosen.select("key", "node", F.lit(True).alias("chosen"))
+        marked = lookup_join(
+            placed, mark, ["key", "node"], one_each(mark), F.col("node"), "left", MOST_BROADCAST
         )
-        new = star_edges(members, centres, sizes)
+        marked = written(marked.fillna(False, ["chosen"]), "members")
+        centres = chosen.select(
+            "key", F.col("node").alias("b"), F.col("n").alias("n2"),
+            F.col("comp").alias("comp2"), F.col("shared").alias("shared2"),
+        )
+        new = star_edges(marked, centres, sizes)
         if edges is not None:
             new = new.join(edges, ["a", "b"], "left_anti")
         new = written(new, "edges")
@@ -350,17 +429,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = found if links is None else links.unionByName(found)
         if not found.isEmpty():
             labels = connected_components(links)
-        members = members.withColumn("central", F.col("central") | F.col("chosen")).select(
-            "key", "node", "n", "score", "central"
+        members = marked.withColumn("central", F.col("central") | F.col("chosen")).select(
+            "key", "node", "n", "score", "central", "shared"
         )
     reps = labels.join(classes.select("node", "rep"), "node")
-    first = reps.groupBy("comp").agg(F.min("rep").alias("first"))
-    named = labels.join(first, "comp").select("node", "first")
-    components = classes.join(named, "node", "left").select(
-        *name, F.coalesce("first", "rep").alias("component_id")
+    first = written(reps.groupBy("comp").agg(F.min("rep").alias("first")), "first")
+    named = lookup_join(
+        labels, first, ["comp"], labels.groupBy("comp").agg(F.count("*").alias("n")),
+        F.col("node"), most=MOST_BROADCAST,
+    )
+    components = written(
+        classes.join(named.select("node", "first"), "node", "left").select(
+            *name, F.coalesce("first", "rep").alias("component_id"), F.col("times").alias("n_rows")
+        ),
+        "named-classes",
     )
-    hot = hot_keys(classes, name, n="times")
-    placed = salted_join(rows.where("n > 0"), components, name, hot, F.col("doc_id"), "left")
+    placed = lookup_join(
+        rows.where("n > 0"), components.drop("n_rows"), name,
+        components, F.col("doc_id"), "left", MOST_BROADCAST, "n_rows",
+    )
     alone = rows.where("n = 0").withColumn("component_id", F.col("doc_id"))
     columns = ["doc_id", "n", "h1", "h2", "component_id"]
     return (

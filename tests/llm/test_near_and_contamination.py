@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 
+import pairmatch.llm.components as C
 import pairmatch.llm.minhash as M
 from pairmatch.llm.components import connected_components
 from pairmatch.llm.decontamination import contamination
@@ -56,7 +57,7 @@ def test_contamination_equals_brute_force(spark, shard, block):
     left = spark.createDataFrame([(*d, 5) for d in docs], "doc_id long, text string, items int")
     right = spark.createDataFrame(items, "item_id long, text string")
     got = contamination(left, right, shard_words=shard, block_words=block).collect()
-    want = [(d[0] or -1, *hits(d[1], items)) for d in docs]
+    want = [(-1 if d[0] is None else d[0], *hits(d[1], items)) for d in docs]
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in got) == sorted(want)
     for r in got:
         assert sum(s["stop"] - s["start"] for s in r["words"]) == r["n_hit"]
@@ -134,6 +135,7 @@ def test_many_rounds_of_centres(spark, monkeypatch):
 
 def test_joins_beyond_the_broadcast_bound(spark, monkeypatch):
     monkeypatch.setattr(M, "MOST_BROADCAST", 1)
+    monkeypatch.setattr(C, "MOST_BROADCAST", 1)
     rows = near_base(12, 160, 3) + [(50, "a b c"), (51, "a b c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert found(docs) == components(rows)
@@ -159,7 +161,7 @@ def test_odd_rows(spark):
 
 def test_signatures_agree_as_often_as_sets():
     rng = np.random.default_rng(0)
-    pool = np.unique(rng.integers(0, 1 << 63, 4000).astype(np.uint64))
+    pool = np.unique(rng.integers(0, 1 << 64, 8000, dtype=np.uint64))
     for size, share in ((20, 0.9), (400, 0.8), (3000, 0.5)):
         agree, similar = [], []
         for _ in range(30):
