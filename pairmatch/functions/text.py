@@ -6,8 +6,10 @@ import re
 import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from pairmatch.functions.words import ALLOWED_NUMBERS, STOP_WORDS, effective_stop_words
 
@@ -42,19 +44,17 @@ PUNCTUATION = r"[!-/:-@\[\]^_`{|}~’‘]"
 FUSED = r"\b(?:can(?=not\b)|gim(?=me\b)|gon(?=na\b)|got(?=ta\b)|lem(?=me\b)|wan(?=na\b))"
 
 
-def _accent_table() -> tuple[str, str]:
-    """Characters that decompose to one base character plus marks, and those bases."""
-    source, target = [], []
-    for code in range(0xC0, 0x2000):
-        parts = unicodedata.normalize("NFKD", chr(code))
-        base = [c for c in parts if not unicodedata.combining(c)]
-        if len(base) == 1 and base[0] != chr(code):
-            source.append(chr(code))
-            target.append(base[0])
-    return "".join(source), "".join(target)
+def unaccented(text: str) -> str:
+    """The compatibility decomposition of a text without combining marks."""
+    if text.isascii():
+        return text
+    parts = unicodedata.normalize("NFKD", text)
+    return "".join(c for c in parts if not unicodedata.combining(c))
 
 
-ACCENTED, UNACCENTED = _accent_table()
+@F.pandas_udf(StringType())
+def _unaccented_texts(texts: pd.Series) -> pd.Series:
+    return texts.map(unaccented, na_action="ignore")
 
 
 def normalize_text(text: Column) -> Column:
@@ -113,8 +113,11 @@ def char_count(text: Column) -> Column:
 
 
 def strip_accents(text: Column) -> Column:
-    """Replace accented letters by their base letter and delete combining marks."""
-    return F.regexp_replace(F.translate(text, ACCENTED, UNACCENTED), r"\p{Mn}+", "")
+    """The compatibility decomposition without combining marks: base letters, plain forms.
+
+    Spark has no normal forms, so this is a vectorised function; it covers every character.
+    """
+    return _unaccented_texts(text)
 
 
 def ngrams(tokens: Column, n: int) -> Column:

@@ -179,23 +179,44 @@ def fit_discriminant(
 def fit_boosted_trees(
     df: DataFrame, columns: list[str], label: str = "is_duplicate", rounds: int = 500,
     step: float = 0.01, depth: int = 9, row_share: float = 0.8, column_share: float = 0.7,
-    positive_weight: float = 1.237, min_rows: int = 5, validation: str | None = None,
-    seed: int = SEED,
+    positive_weight: float = 1.237, min_rows: int = 5, min_gain: float = 0.0,
+    validation: str | None = None, patience: int = 100, seed: int = SEED,
 ) -> PipelineModel:
     """Boosted trees with logistic loss.
 
-    With a boolean ``validation`` column, boosting ends when the validation error gets no
-    better.
+    With a boolean ``validation`` column, the trees are fitted on the other rows, and the round
+    counts that had the least validation loss before ``patience`` rounds without a better one.
+    All rounds are fitted first and the model is refitted with the chosen number and the same
+    seed, since the built-in rule would end at the first small gain.
     """
     weighted = df.withColumn("_weight", F.when(F.col(label) == 1, positive_weight).otherwise(1.0))
     trees = GBTClassifier(
         featuresCol="features", labelCol=label, weightCol="_weight", maxIter=rounds,
         stepSize=step, maxDepth=depth, subsamplingRate=row_share,
-        featureSubsetStrategy=str(column_share), minInstancesPerNode=min_rows, seed=seed,
+        featureSubsetStrategy=str(column_share), minInstancesPerNode=min_rows,
+        minInfoGain=min_gain, seed=seed,
     )
-    if validation:
-        trees = trees.setValidationIndicatorCol(validation)
-    return Pipeline(stages=[assembler(columns), trees]).fit(weighted)
+    stages = Pipeline(stages=[assembler(columns), trees])
+    if not validation:
+        return stages.fit(weighted)
+    used = weighted.where(~F.col(validation))
+    model = stages.fit(used)
+    held = model.stages[0].transform(weighted.where(validation))
+    best = best_round(model.stages[1].evaluateEachIteration(held), patience)
+    if best == rounds:
+        return model
+    return Pipeline(stages=[assembler(columns), trees.setMaxIter(best)]).fit(used)
+
+
+def best_round(losses: list[float], patience: int) -> int:
+    """The round (from 1) of the least loss before ``patience`` rounds bring no better one."""
+    best = 0
+    for k, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = k
+        elif k - best >= patience:
+            break
+    return best + 1
 
 
 def tree_grid(rounds: int = 350, label: str = "is_duplicate", seed: int = SEED):

@@ -16,6 +16,11 @@ def tag_type(df: DataFrame, value: str) -> DataFrame:
     return df.withColumn("type", F.lit(value))
 
 
+def type_of(label: Column) -> Column:
+    """``TR`` for a pair with a label, ``TS`` for one without."""
+    return F.when(label.isNull(), "TS").otherwise("TR")
+
+
 def label_last(df: DataFrame, label: str = "is_duplicate") -> DataFrame:
     """Move the label to the last position."""
     return df.select(*[c for c in df.columns if c != label], label)
@@ -126,8 +131,10 @@ def dedupe_predictions(
 
 
 def latest_text(df: DataFrame) -> DataFrame:
-    """One text per question id: the last row wins, side 2 after side 1; no empty texts."""
-    rows = long_form(df.where(F.col("type") == "TR"))
-    rows = rows.where(F.col("text").isNotNull())
+    """One text per question id: the last row wins, side 2 after side 1; no empty texts.
+
+    A pair counts only if both of its texts are there.
+    """
+    rows = long_form(require_text(df.where(F.col("type") == "TR"), ["question1", "question2"]))
     last = rows.groupBy("qid").agg(F.max_by("text", F.struct("id", "side")).alias("text"))
     return last.where(F.char_length("text") > 0)

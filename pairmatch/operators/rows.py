@@ -16,22 +16,42 @@ def exploded(df: DataFrame, array: Column | str, name: str, *keep: str) -> DataF
     return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
 
 
+#: Rows that one bucket of a row number holds about, and the most buckets (the broadcast bound).
+BUCKET_ROWS = 1 << 20
+MOST_BUCKETS = 1 << 16
+
+
 def global_row_number(
-    df: DataFrame, key: str, by: str | None = None, buckets: int = 512, name: str = "rn"
+    df: DataFrame,
+    key: str,
+    by: str | None = None,
+    buckets: int | None = None,
+    name: str = "rn",
 ) -> DataFrame:
     """Number rows 1.. in order of a unique numeric ``key``, optionally within ``by``.
 
     Approximate quantiles of the key cut the rows into buckets of about equal size, whatever
-    the distribution of the key. A row number is the number of rows in earlier buckets plus
-    the rank inside the own bucket, so the largest sort is one bucket. The offsets table has
-    ``buckets`` rows per value of ``by``, which must have few values (a label).
+    the distribution of the key; there are as many as the rows ask for. A row number is the
+    number of rows in earlier buckets plus the rank inside the own bucket, so the largest sort
+    is one bucket. The offsets table has a row per bucket and value of ``by``, which should have
+    few values (a label); it is broadcast if it is small. Null keys come last, in a bucket of
+    their own, dealt over the hash of the row and numbered in that order. A null in ``by`` is a
+    value of its own. An empty table stays empty.
     """
+    if buckets is None:
+        buckets = min(MOST_BUCKETS, max(64, df.count() // BUCKET_ROWS))
     probabilities = [i / buckets for i in range(1, buckets)]
-    cuts = df.approxQuantile(key, probabilities, 0.25 / buckets)
-    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    cuts = sorted(set(df.approxQuantile(key, probabilities, 0.25 / buckets)))
+    splits = [-float("inf"), *(cuts or [0.0]), float("inf")]
     by_cols = [by] if by else []
-    keyed = Bucketizer(splits=splits, inputCol="_key", outputCol="_bucket").transform(
-        df.withColumn("_key", F.col(key).cast("double"))
+    bucketizer = Bucketizer(
+        splits=splits, inputCol="_key", outputCol="_bucket", handleInvalid="keep"
+    )
+    keyed = bucketizer.transform(df.withColumn("_key", F.col(key).cast("double")))
+    # null keys are spread over as many buckets behind all others
+    spread = F.pmod(F.xxhash64(*df.columns), F.lit(buckets)) + len(splits)
+    keyed = keyed.withColumn(
+        "_bucket", F.when(F.col("_key").isNull(), spread).otherwise(F.col("_bucket").cast("long"))
     )
     counts = keyed.groupBy(*by_cols, "_bucket").agg(F.count("*").alias("_n"))
     before = (
@@ -40,11 +60,18 @@ def global_row_number(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = counts.select(
-        *by_cols, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+        *(F.col(c).alias("_by") for c in by_cols),
+        F.col("_bucket").alias("_at"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
     )
+    same = F.col("_bucket") == F.col("_at")
+    if by:
+        same &= F.col(by).eqNullSafe(F.col("_by"))
+    if offsets.count() <= MOST_BUCKETS * 4:
+        offsets = F.broadcast(offsets)
     inside = Window.partitionBy(*by_cols, "_bucket").orderBy(key)
     return (
-        keyed.join(F.broadcast(offsets), [*by_cols, "_bucket"])
+        keyed.join(offsets, same)
         .withColumn(name, F.col("_before") + F.row_number().over(inside))
         .select(*df.columns, name)
     )

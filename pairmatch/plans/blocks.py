@@ -166,9 +166,11 @@ _POS = "(((2 * (k // 28) * (L - 1) + 27) // 54) * L + ((2 * (k % 28) * (L - 1) +
 BLOCKS: dict[str, tuple[list[str], str]] = {
     "pairs": ([], """
         SELECT a.doc_id AS id, a.doc_id AS qid1, b.doc_id AS qid2, a.text AS question1,
-               b.text AS question2, l.quality AS is_duplicate, 'TR' AS type
+               b.text AS question2, l.quality AS is_duplicate,
+               CASE WHEN l.quality IS NULL THEN 'TS' ELSE 'TR' END AS type
         FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1
-        JOIN labels l ON l.doc_id = a.doc_id"""),
+        LEFT JOIN labels l ON l.doc_id = a.doc_id"""),
+    "trained": (["basic"], "SELECT * FROM basic WHERE type = 'TR'"),
     "cleaned": (["pairs"], f"""
         SELECT id, qid1, qid2, is_duplicate, type, {cleaned('question1')} AS q1nopunct,
                {cleaned('question2')} AS q2nopunct FROM pairs"""),

@@ -20,7 +20,7 @@ def _labels(spark, sf):
     )
 
 
-_VALID = "(doc_id * 7919 + 37458) % 1000 < 200"
+_VALID = "('0x' || substr(md5('37458:' || doc_id), 1, 15))::BIGINT % 1000 < 200"
 
 
 @query("random_split", f"""
@@ -132,10 +132,14 @@ def batched_accuracy(spark, sf):
 
 def _model_rows(spark, sf):
     """Numeric features of the text pairs; written once because fitting reads them often."""
-    rows = V.basic_features(spark, sf).select("id", "is_duplicate", *NUMERIC)
+    rows = V.basic_features(spark, sf).select("id", "type", "is_duplicate", *NUMERIC)
     return written(rows, "model-rows")
 
 
+def _train_rows(spark, sf):
+    return _model_rows(spark, sf).where("type = 'TR'").drop("type")
+
+
 @query("train_word_vectors")
 def train_word_vectors(spark, sf):
     cleaned = pairs.rename(
@@ -168,14 +172,14 @@ def component_points(spark, sf):
 
 @query("linear_discriminant")
 def linear_discriminant(spark, sf):
-    rows = _model_rows(spark, sf)
+    rows = _train_rows(spark, sf)
     fit = learn.fit_discriminant(rows, NUMERIC)
     return fit.transform(rows).select("id", "is_duplicate", "LD1", "posterior_1", "class")
 
 
 @query("boosted_trees")
 def boosted_trees(spark, sf):
-    rows = _model_rows(spark, sf)
+    rows = _train_rows(spark, sf)
     rows = rows.withColumn("valid", sampling.slot(F.col("id")) < 200)
     model = learn.fit_boosted_trees(rows, NUMERIC, rounds=20, step=0.1, depth=5, validation="valid")
     return learn.score(model, rows.where("valid"), name="boosted")
@@ -183,7 +187,7 @@ def boosted_trees(spark, sf):
 
 @query("grid_search_trees")
 def grid_search_trees(spark, sf):
-    rows = learn.assembler(NUMERIC).transform(_model_rows(spark, sf))
+    rows = learn.assembler(NUMERIC).transform(_train_rows(spark, sf))
     trees, settings = learn.tree_grid(rounds=2)
     trees = trees.setMaxDepth(3)
     fitted = learn.grid_fit(rows, trees, settings, folds=5, parallelism=4)
@@ -192,7 +196,7 @@ def grid_search_trees(spark, sf):
 
 @query("grid_search_mlp")
 def grid_search_mlp(spark, sf):
-    scaled = features.minmax(_model_rows(spark, sf), NUMERIC, -1.0, 1.0)
+    scaled = features.minmax(_train_rows(spark, sf), NUMERIC, -1.0, 1.0)
     names = [f"scaled_{i}" for i in range(len(NUMERIC))]
     rows = learn.assembler(names).transform(scaled)
     mlp, settings = learn.perceptron_grid(len(names))
@@ -202,15 +206,20 @@ def grid_search_mlp(spark, sf):
 
 @query("batch_score")
 def batch_score(spark, sf):
+    """Fit on the labelled pairs, score every pair without a label."""
     rows = _model_rows(spark, sf)
-    train, test = sampling.split(rows, 0.5)
-    model = learn.fit_boosted_trees(train, NUMERIC, rounds=5, step=0.1, depth=4)
-    return learn.score(model, test, name="boosted")
+    model = learn.fit_boosted_trees(
+        rows.where("type = 'TR'"), NUMERIC, rounds=5, step=0.1, depth=4
+    )
+    return learn.score(model, rows.where("type = 'TS'"), name="boosted")
 
 
 @query("save_load_model")
 def save_load_model(spark, sf):
+    """Scores of all pairs by a model and by its stored copy."""
     rows = _model_rows(spark, sf)
     path = work_dir(spark, "model")
-    learn.save_model(learn.fit_boosted_trees(rows, NUMERIC, rounds=3, depth=3), path)
-    return learn.score(learn.load_model(path), rows, name="reloaded")
+    model = learn.fit_boosted_trees(rows.where("type = 'TR'"), NUMERIC, rounds=3, depth=3)
+    learn.save_model(model, path)
+    own = learn.score(model, rows, name="fitted")
+    return own.unionByName(learn.score(learn.load_model(path), rows, name="reloaded"))

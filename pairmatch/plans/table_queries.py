@@ -224,9 +224,9 @@ def stopword_filter_join(spark, sf):
 
 @query("profile_counts", with_blocks("""
     SELECT count(*) AS n_pairs, round_even(avg(is_duplicate) * 100, 2) AS duplicate_pct
-    FROM pairs""", "pairs"))
+    FROM pairs WHERE type = 'TR'""", "pairs"))
 def profile_counts(spark, sf):
-    return R.profile(V.text_pairs(spark, sf))
+    return R.profile(V.text_pairs(spark, sf).where("type = 'TR'"))
 
 
 @query("distinct_questions", with_blocks("""
@@ -288,9 +288,9 @@ def wordcount_histogram(spark, sf):
 
 
 @query("feature_histogram_by_label", histogram_sql(
-    "SELECT is_duplicate, wrdmatchpct AS v FROM basic", 25, ["basic"], by="is_duplicate"))
+    "SELECT is_duplicate, wrdmatchpct AS v FROM trained", 25, ["trained"], by="is_duplicate"))
 def feature_histogram_by_label(spark, sf):
-    return rounded_bins(R.histogram(V.basic_features(spark, sf), "wrdmatchpct", 25, by="is_duplicate"))
+    return rounded_bins(R.histogram(V.trained(spark, sf), "wrdmatchpct", 25, by="is_duplicate"))
 
 
 @query("group_histogram", """
@@ -305,13 +305,13 @@ def group_histogram(spark, sf):
 @query("box_summary", with_blocks("""
     SELECT is_duplicate, n_rows, round_even(q1, 6) AS q1, round_even(median, 6) AS median,
            round_even(q3, 6) AS q3, min(v) AS whisker_lo, max(v) AS whisker_hi
-    FROM (SELECT is_duplicate, wrdmatchpct AS v FROM basic) JOIN
+    FROM (SELECT is_duplicate, wrdmatchpct AS v FROM trained) JOIN
          (SELECT is_duplicate, count(*) AS n_rows, quantile_cont(wrdmatchpct, 0.25) AS q1,
                  quantile_cont(wrdmatchpct, 0.5) AS median, quantile_cont(wrdmatchpct, 0.75) AS q3
-          FROM basic GROUP BY 1) USING (is_duplicate)
-    WHERE v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY ALL""", "basic"))
+          FROM trained GROUP BY 1) USING (is_duplicate)
+    WHERE v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY ALL""", "trained"))
 def box_summary(spark, sf):
-    box = R.box_summary(V.basic_features(spark, sf), "wrdmatchpct", "is_duplicate")
+    box = R.box_summary(V.trained(spark, sf), "wrdmatchpct", "is_duplicate")
     return box.withColumns({c: F.bround(c, 6) for c in ("q1", "median", "q3")})
 
 
@@ -359,9 +359,11 @@ def information_content(spark, sf):
 
 @query("latest_question_text", with_blocks("""
     SELECT qid, text FROM (SELECT qid, text, row_number() OVER (PARTITION BY qid ORDER BY id DESC, side DESC) AS rn
-        FROM (SELECT id, 1 AS side, qid1 AS qid, question1 AS text FROM pairs
-              UNION ALL SELECT id, 2, qid2, question2 FROM pairs) WHERE text IS NOT NULL)
-    WHERE rn = 1 AND length(text) > 0""", "pairs"))
+        FROM (SELECT id, 1 AS side, qid1 AS qid, question1 AS text FROM kept
+              UNION ALL SELECT id, 2, qid2, question2 FROM kept))
+    WHERE rn = 1 AND length(text) > 0""", "pairs", "kept", own={
+        "kept": """SELECT * FROM pairs
+            WHERE type = 'TR' AND question1 IS NOT NULL AND question2 IS NOT NULL"""}))
 def latest_question_text(spark, sf):
     return P.latest_text(V.text_pairs(spark, sf))
 
@@ -378,7 +380,7 @@ def sort_predictions(spark, sf):
 
 @query("sample_points", """
     SELECT o_orderkey AS id, o_totalprice FROM orders
-    ORDER BY (o_orderkey * 7919 + 37458) % 1000003, o_orderkey LIMIT 1000""")
+    ORDER BY md5('37458:' || o_orderkey), o_orderkey LIMIT 1000""")
 def sample_points(spark, sf):
     orders = V.load(spark, sf, "orders")
     return sampling.sample_n(orders.select(F.col("o_orderkey").alias("id"), "o_totalprice"), 1000)

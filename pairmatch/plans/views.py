@@ -16,22 +16,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def load_texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A table with long texts, spread over the cores when it comes in few files.
+def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and the next one, with whole texts.
 
-    One task reads a row group, so a table of one small file would be cleaned by one task. A
-    table of many files is left as it is: it needs no shuffle.
+    Pairs of a labelled document are training pairs (``TR``), the others are to be scored
+    (``TS``) and have no label.
     """
-    df = load(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
-
-
-def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of a labelled document and the next one, with whole texts."""
-    docs = load_texts(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     labels = load(spark, sf_dir, "labels").select("doc_id", "quality")
-    first = docs.join(labels, "doc_id").select(
+    first = docs.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("id"), F.col("doc_id").alias("qid1"),
         F.col("text").alias("question1"), F.col("quality").alias("is_duplicate"),
     )
@@ -42,7 +35,7 @@ def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = first.join(second, "id").select(
         "id", "qid1", "qid2", "question1", "question2", "is_duplicate"
     )
-    return P.tag_type(raw, "TR")
+    return raw.withColumn("type", P.type_of(F.col("is_duplicate")))
 
 
 def cleaned_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +48,11 @@ def basic_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.basic_features(text_pairs(spark, sf_dir))
 
 
+def trained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled text pairs with counts and overlap."""
+    return basic_features(spark, sf_dir).where("type = 'TR'")
+
+
 def token_columns() -> list[Column]:
     """Tokens of the cleaned texts."""
     return [T.tokenize(F.col(f"q{s}nopunct")).alias(f"tokens{s}") for s in (1, 2)]
@@ -67,7 +65,7 @@ def token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned tokens of every document."""
-    docs = load_texts(spark, sf_dir, "documents", "doc_id")
+    docs = load(spark, sf_dir, "documents")
     return docs.select("doc_id", T.tokenize(T.clean_text(F.col("text"))).alias("tokens"))
 
 

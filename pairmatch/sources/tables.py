@@ -67,7 +67,7 @@ def read_features(spark: SparkSession, path: str, kind: str | None = None) -> Da
 def prediction_rows(scored: DataFrame) -> DataFrame:
     """``(test_id, is_duplicate)`` in ascending order of ``test_id``."""
     return scored.select(
-        F.col("test_id").cast("int").alias("test_id"),
+        F.col("test_id").cast("long").alias("test_id"),
         F.col("is_duplicate_1").cast("float").alias("is_duplicate"),
     ).orderBy("test_id")
 

@@ -21,6 +21,33 @@ def test_row_numbers_follow_the_key_whatever_its_distribution(spark):
     assert {r["id"]: r["rn"] for r in by} == {k: i + 1 for i, k in enumerate(odd)}
 
 
+def test_row_numbers_of_null_keys_and_of_nothing(spark):
+    data = [(k, k % 2 if k % 7 else None) for k in range(200)] + [(None, 1)] * 5
+    df = spark.createDataFrame(data, "id long, y int")
+    got = rows.global_row_number(df, "id", buckets=8).collect()
+    assert sorted(r["rn"] for r in got) == list(range(1, 206))
+    assert {r["rn"] for r in got if r["id"] is None} == set(range(201, 206))
+    by = rows.global_row_number(df, "id", by="y", buckets=8).collect()
+    assert len(by) == 205
+    for y in (0, 1, None):
+        own = sorted(r["rn"] for r in by if r["y"] == y)
+        assert own == list(range(1, len(own) + 1))
+    none = df.limit(0)
+    assert rows.global_row_number(none, "id", by="y").count() == 0
+    assert sampling.stratified_folds(none, 5, label="y").count() == 0
+    assert sampling.oversample(none, 0, 0.165, label="y").count() == 0
+    assert sampling.stratified_folds(df, 5, label="y").count() == 205
+
+
+def test_splits_whatever_the_pattern_of_the_keys(spark):
+    for keys in (range(0, 500_000, 250), [k * 0x5DEECE66D1234567 % (1 << 63) for k in range(2000)]):
+        df = spark.createDataFrame([(k,) for k in keys], "id long")
+        train, valid = sampling.split(df, 0.2)
+        assert 300 < valid.count() < 500 and train.count() + valid.count() == 2000
+        picked = sampling.sample_n(df, 100).collect()
+        assert len(picked) == 100 and max(r["id"] for r in picked) > sorted(keys)[1500]
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_salted_join_equals_a_plain_join(spark, how):
     left = spark.createDataFrame(
@@ -85,6 +112,13 @@ def test_oversample_follows_the_doubling_rule(spark, share, target):
     assert out.where("is_duplicate = 1").count() == sum(labels)
 
 
+def test_best_round_waits_for_a_better_one():
+    losses = [5, 4, 4.5, 4.2, 3, 3.5, 3.4, 3.3, 2]
+    assert learn.best_round(losses, 2) == 2
+    assert learn.best_round(losses, 3) == 5
+    assert learn.best_round(losses, 100) == 9
+
+
 def test_folds_and_splits(spark):
     df = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(203)], "id long, is_duplicate int")
     folds = sampling.stratified_folds(df, 5).groupBy("is_duplicate", "fold").count().collect()

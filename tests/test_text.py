@@ -1,5 +1,6 @@
 import re
 import string
+import unicodedata
 
 import pytest
 from hypothesis import given, settings
