@@ -34,7 +34,7 @@ CHUNK_WORDS = 1 << 18
 REMEMBERED = 1 << 20
 #: Rows of a list of edges or ids, and hashes of a list of sets, up to which it is broadcast.
 MOST_BROADCAST = 1_000_000
-MOST_HASHES = 4_000_000
+MOST_HASHES = 500_000
 
 
 class WordHashes(dict):
@@ -278,6 +278,8 @@ def star_edges(members: DataFrame, centres: DataFrame, sizes: DataFrame) -> Data
     )
     apart = (F.col("comp") != F.col("comp2")) & ~F.col("central")
     apart &= may_link(F.least("shared", "shared2"), F.col("n") + F.col("n2"))
+    if "bands" in members.columns:  # of the buckets that two members share, one speaks
+        apart &= F.col("key") == F.array_min(F.array_intersect("bands", "bands2"))
     one_way = ~F.col("chosen") | (F.col("node") < F.col("b"))
     return joined.where(apart & one_way).select(F.col("node").alias("a"), "b").distinct()
 
@@ -318,8 +320,8 @@ def in_buckets(placed: DataFrame, sizes: DataFrame) -> DataFrame:
     )
 
 
-def still_possible(placed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members of open buckets that may have a partner at all.
+def still_possible(placed: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of open buckets that may have a partner at all, with all their ``bands``.
 
     Hashes that only one of the sets at hand has are in no intersection. What is left of a
     set, ``shared``, bounds its intersections, and a member is dropped where even the smallest
@@ -341,12 +343,10 @@ def still_possible(placed: DataFrame, sets: DataFrame) -> DataFrame:
         placed, alone, ["node"], one_each(alone), F.col("key"), "left", MOST_BROADCAST
     )
     shared = F.col("n") - F.coalesce("alone", F.lit(0))
-    return written(
-        joined.withColumn("shared", shared)
-        .where(may_link(F.col("shared"), F.col("n") + F.col("least")))
-        .drop("alone"),
-        "possible",
+    kept = joined.withColumn("shared", shared).where(
+        may_link(F.col("shared"), F.col("n") + F.col("least"))
     )
+    return written(kept.drop("alone").join(classes.select("node", "bands"), "node"), "possible")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -399,16 +399,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         placed = in_buckets(placed, sizes)
         if number == 1:
-            placed = still_possible(placed, sets).drop("least")
+            placed = still_possible(placed, sets, classes).drop("least")
             sizes = open_buckets(placed)
             placed = in_buckets(placed, sizes)
         # members of the largest component need not become centres: the others meet them
+        whole = ["bands"] if "bands" in placed.columns else []
         order = Window.partitionBy("key").orderBy("comp_size", F.desc("score"), "node")
         chosen = written(
             placed.where(~F.col("central"))
             .withColumn("rank", F.row_number().over(order))
             .where(F.col("rank") <= per_bucket)
-            .select("key", "node", "n", "comp", "shared"),
+            .select("key", "node", "n", "comp", "shared", *whole),
             "centres",
         )
         mark = chosen.select("key", "node", F.lit(True).alias("chosen"))
@@ -419,6 +420,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         centres = chosen.select(
             "key", F.col("node").alias("b"), F.col("n").alias("n2"),
             F.col("comp").alias("comp2"), F.col("shared").alias("shared2"),
+            *(F.col(c).alias(f"{c}2") for c in whole),
         )
         new = star_edges(marked, centres, sizes)
         if edges is not None:
@@ -430,7 +432,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not found.isEmpty():
             labels = connected_components(links)
         members = marked.withColumn("central", F.col("central") | F.col("chosen")).select(
-            "key", "node", "n", "score", "central", "shared"
+            "key", "node", "n", "score", "central", "shared", *whole
         )
     reps = labels.join(classes.select("node", "rep"), "node")
     first = written(reps.groupBy("comp").agg(F.min("rep").alias("first")), "first")
