@@ -149,38 +149,38 @@ def fit_linear(
 
 #: Figures of form; the columns of a fitted model.
 FORM = 4
-MODEL = "fit int, id long, p double, features array<long>, weights array<double>, bias double, earlier array<double>"
+MODEL = "id long, p double, features array<long>, weights array<double>, bias double, earlier array<double>"
 
 
-def fit_group(name: str, earlier: list[str], size: int):
-    """A function that fits one model on the rows that its ``fit`` does not leave out.
+def fit_group(name: str, earlier: list[str], size: int, folds: int):
+    """A function that fits the models of one category on the bounded sample.
 
-    Its rows are the bounded sample. It returns the model and, for the rows left out, their
-    probabilities.
+    Model -1 uses all rows. Model k leaves fold k out and gives the probabilities of its rows.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        fit = int(rows["fit"].iloc[0])
         rows = rows.sort_values("id")
         form = np.array(rows["form"].tolist(), float).reshape(len(rows), -1)
         dense = np.concatenate((form, rows[[f"p_{e}" for e in earlier]].to_numpy(float)), axis=1)
         y, fold = rows[name].to_numpy(float), rows["fold"].to_numpy()
-        used = (fold != fit) & ~np.isnan(y)
+        ids = rows["id"].to_numpy()
         lists = [np.asarray(r, np.int64) for r in rows["numbers"]]
-        features, weights, bias, before = fit_linear(
-            [r for r, u in zip(lists, used) if u], dense[used], y[used], size
-        )
-        link = Link(name, features, weights, bias, before)
-        out = [(fit, None, None, features.tolist(), weights.tolist(), bias, before.tolist())]
-        marks = np.zeros(size, bool)
-        for k in np.flatnonzero(fold == fit):
-            marks[lists[k]] = True
-            p = float(sigmoid(link.logit(marks, list(dense[k]))))
-            marks[lists[k]] = False
-            out.append((fit, int(rows["id"].iloc[k]), p, None, None, None, None))
-        return pd.DataFrame(
-            out, columns=["fit", "id", "p", "features", "weights", "bias", "earlier"]
-        ).astype({"id": "Int64"})
+        marks, out = np.zeros(size, bool), []
+        for fit in range(-1, folds):
+            used = (fold != fit) & ~np.isnan(y)
+            kept = [r for r, u in zip(lists, used) if u]
+            features, weights, bias, before = fit_linear(kept, dense[used], y[used], size)
+            link = Link(name, features, weights, bias, before)
+            if fit < 0:
+                model = features.tolist(), weights.tolist(), bias, before.tolist()
+                out.append((None, None, *model))
+            for k in np.flatnonzero(fold == fit):
+                marks[lists[k]] = True
+                p = float(sigmoid(link.logit(marks, list(dense[k]))))
+                marks[lists[k]] = False
+                out.append((int(ids[k]), p, None, None, None, None))
+        names = ["id", "p", "features", "weights", "bias", "earlier"]
+        return pd.DataFrame(out, columns=names).astype({"id": "Int64"})
 
     return run
 
@@ -263,7 +263,7 @@ def fit_chain(
     fitting, these are out-of-fold: a model fitted on the other folds predicts each fold, so
     later models see earlier ones as they behave on new texts. The model kept of a category is
     fitted on all folds; its threshold is that of the best F1 out of fold. The models of one
-    category are fitted side by side, each in one task on the sample.
+    category are fitted in one task, which reads the sample once.
 
     At most about ``most_rows`` labelled rows are used, chosen by a hash of the id; this bounds
     the tasks and what the driver sees. A null label does not count for its category; a
@@ -288,14 +288,13 @@ def fit_chain(
     numbers = {bytes(r["feature"]): k for k, r in enumerate(top)}
     rows = written(numbered(sample, numbers), "numbered")
     chain, earlier = Chain(numbers, []), []
-    fits = F.explode(F.array(*(F.lit(k) for k in range(-1, folds))))
     for name in categories:
         given = rows.select(
-            fits.alias("fit"), "id", "fold", "numbers", "form", name, *(f"p_{e}" for e in earlier)
+            "id", "fold", "numbers", "form", name, *(f"p_{e}" for e in earlier)
         )
-        run = fit_group(name, list(earlier), len(numbers))
-        out = written(given.groupBy("fit").applyInPandas(run, MODEL), "fits")
-        kept = out.where("fit = -1 and id is null").first()
+        run = fit_group(name, list(earlier), len(numbers), folds)
+        out = written(given.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, MODEL), "fits")
+        kept = out.where("id is null").first()
         link = Link(name, np.zeros(0, np.int64), np.zeros(0), -20.0, np.zeros(FORM + len(earlier)))
         if kept is not None:
             link = Link(
@@ -303,7 +302,7 @@ def fit_chain(
                 kept["bias"], np.array(kept["earlier"], float),
             )
         p = out.where("id is not null").select("id", F.col("p").alias(f"p_{name}"))
-        rows = written(rows.join(p, "id"), "out-of-fold")
+        rows = rows.join(F.broadcast(p), "id")  # as many rows as the sample
         link.threshold = best_threshold(rows, name)
         chain.links.append(link)
         earlier.append(name)
