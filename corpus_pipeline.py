@@ -20,6 +20,8 @@ from pairmatch.session import written
 
 #: The later stages draw on random-looking hashes and fitted models, which SQL has no equal of.
 ORACLE_SQL = None
+#: Near copies share this percentage of their five-word shingles or more.
+NEAR_PERCENT = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +47,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         F.when(no_id, digest).otherwise(F.lit("")).alias("digest"),
     )
     found = written(
-        near_duplicates(docs.select(key.alias("key"), "text"), id_col="key"), "near-copies"
+        near_duplicates(
+            docs.select(key.alias("key"), "text"), id_col="key", percent=NEAR_PERCENT
+        ),
+        "near-copies",
     ).withColumnRenamed("doc_id", "key")
     gone = written(found.where(~F.col("kept")).select("key").distinct(), "dropped")
     counts = found.groupBy("key").agg(F.count("*").alias("n"))

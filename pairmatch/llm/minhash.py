@@ -267,7 +267,9 @@ def may_link(shared, sizes, percent: int = PERCENT):
     return shared * (100 + percent) >= sizes * percent
 
 
-def star_edges(members: DataFrame, centres: DataFrame, sizes: DataFrame) -> DataFrame:
+def star_edges(
+    members: DataFrame, centres: DataFrame, sizes: DataFrame, percent: int = PERCENT
+) -> DataFrame:
     """Distinct edges ``(a, b)`` from a bucket's members to its centres of other components.
 
     ``sizes`` has the number ``n`` of members per bucket. Of an edge between two centres one
@@ -277,7 +279,7 @@ def star_edges(members: DataFrame, centres: DataFrame, sizes: DataFrame) -> Data
         members, centres, ["key"], sizes, F.col("node"), most=MOST_BROADCAST
     )
     apart = (F.col("comp") != F.col("comp2")) & ~F.col("central")
-    apart &= may_link(F.least("shared", "shared2"), F.col("n") + F.col("n2"))
+    apart &= may_link(F.least("shared", "shared2"), F.col("n") + F.col("n2"), percent)
     if "bands" in members.columns:  # of the buckets that two members share, one speaks
         apart &= F.col("key") == F.array_min(F.array_intersect("bands", "bands2"))
     one_way = ~F.col("chosen") | (F.col("node") < F.col("b"))
@@ -320,7 +322,9 @@ def in_buckets(placed: DataFrame, sizes: DataFrame) -> DataFrame:
     )
 
 
-def still_possible(placed: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
+def still_possible(
+    placed: DataFrame, sets: DataFrame, classes: DataFrame, percent: int = PERCENT
+) -> DataFrame:
     """Members of open buckets that may have a partner at all, with all their ``bands``.
 
     Hashes that only one of the sets at hand has are in no intersection. What is left of a
@@ -344,14 +348,20 @@ def still_possible(placed: DataFrame, sets: DataFrame, classes: DataFrame) -> Da
     )
     shared = F.col("n") - F.coalesce("alone", F.lit(0))
     kept = joined.withColumn("shared", shared).where(
-        may_link(F.col("shared"), F.col("n") + F.col("least"))
+        may_link(F.col("shared"), F.col("n") + F.col("least"), percent)
     )
     return written(kept.drop("alone").join(classes.select("node", "bands"), "node"), "possible")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT
+) -> DataFrame:
     """Components of texts linked by similar sets of word shingles.
 
+    Two sets are linked if ``percent`` of their union or more lies in the intersection. The bands
+    miss a pair at 85 with a probability below 1e-10 and one at 80 with about 1e-7; lower
+    thresholds need more bands.
+
     Texts of equal sets are one class first. The classes' signatures are cut into bands, and
     classes that agree in a band share a bucket. A bucket gives star-shaped edges: every member
     to one centre, so the number of pairs is linear in the number of members. Edges are
@@ -399,7 +409,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         placed = in_buckets(placed, sizes)
         if number == 1:
-            placed = still_possible(placed, sets, classes).drop("least")
+            placed = still_possible(placed, sets, classes, percent).drop("least")
             sizes = open_buckets(placed)
             placed = in_buckets(placed, sizes)
         # members of the largest component need not become centres: the others meet them
@@ -422,11 +432,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             F.col("comp").alias("comp2"), F.col("shared").alias("shared2"),
             *(F.col(c).alias(f"{c}2") for c in whole),
         )
-        new = star_edges(marked, centres, sizes)
+        new = star_edges(marked, centres, sizes, percent)
         if edges is not None:
             new = new.join(edges, ["a", "b"], "left_anti")
         new = written(new, "edges")
-        found = written(linked(new, sets), "links")
+        found = written(linked(new, sets, percent), "links")
         edges = new if edges is None else edges.unionByName(new)
         links = found if links is None else links.unionByName(found)
         if not found.isEmpty():

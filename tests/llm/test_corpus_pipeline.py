@@ -48,3 +48,17 @@ def test_stages_on_odd_rows(spark):
     assert next(r["text"] for r in left if r["doc_id"] is None) is None
     empty = stages(spark, docs.limit(0))
     assert [t.count() for t in empty.values()] == [0] * 5
+
+
+def left_after_near_copies(spark, rows):
+    schema = load(spark, SMALL, "documents").schema
+    docs = spark.createDataFrame([(k, t, "en", "a", 1) for k, t in rows], schema)
+    return sorted((r["doc_id"], r["text"]) for r in P.drop_near_copies(spark, docs, SMALL).collect())
+
+
+def test_near_copies_are_linked_at_four_fifths(spark):
+    base = [f"w{k}" for k in range(104)]
+    cut = lambda n: " ".join(base[: 104 - n])
+    # 80 and 79 of 100 shingles are shared
+    assert left_after_near_copies(spark, [(1, cut(0)), (2, cut(20))]) == [(1, cut(0))]
+    assert len(left_after_near_copies(spark, [(1, cut(0)), (2, cut(21))])) == 2
