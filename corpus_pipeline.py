@@ -36,15 +36,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near duplicates.
 
-    A document without id is named by its text and comes after all others, and of rows that
-    repeat an id and a text one stays.
+    A row is named by its id and its text, so rows that share an id are judged each by their own
+    text. Rows without id come after all others, and of rows that repeat an id and a text one stays.
     """
     no_id = F.col("doc_id").isNull()
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     key = F.struct(
         no_id.alias("no_id"),
         F.coalesce("doc_id", F.lit(0)).alias("id"),
-        F.when(no_id, digest).otherwise(F.lit("")).alias("digest"),
+        digest.alias("digest"),
     )
     found = written(
         near_duplicates(

@@ -62,3 +62,10 @@ def test_near_copies_are_linked_at_four_fifths(spark):
     # 80 and 79 of 100 shingles are shared
     assert left_after_near_copies(spark, [(1, cut(0)), (2, cut(20))]) == [(1, cut(0))]
     assert len(left_after_near_copies(spark, [(1, cut(0)), (2, cut(21))])) == 2
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
+    text = lambda name: " ".join(f"{name}{k}" for k in range(40))
+    rows = [(1, text("a")), (7, text("a") + " end"), (7, text("b")), (7, text("c")), (8, text("c"))]
+    want = [(1, text("a")), (7, text("b")), (7, text("c"))]
+    assert left_after_near_copies(spark, rows) == want
