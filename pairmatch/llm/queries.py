@@ -11,7 +11,7 @@ from pairmatch.llm.exact_dedup import exact_duplicates
 from pairmatch.llm.minhash import near_duplicates
 from pairmatch.llm.mixing import mixed
 from pairmatch.llm.ring import ring_shards
-from pairmatch.llm.suffix_tree import fit_suffix_tree, score_texts
+from pairmatch.llm.suffix_tree import Settings, fit_suffix_tree, score_texts
 from pairmatch.llm.token_counts import prefix_counts
 from pairmatch.llm.toxicity import classify, fit_chain
 from pairmatch.llm.url_filter import Rule, judge_urls
@@ -275,7 +275,7 @@ def held_out():
 def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a suffix tree learnt from nine tenths of them."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit_suffix_tree(docs.where(~held_out()))
+    model = fit_suffix_tree(docs.where(~held_out()), settings=Settings(depth=3))
     return score_texts(docs, model).select(
         "doc_id", held_out().alias("held_out"), "n_tokens", "n_known",
         F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score",

@@ -113,3 +113,26 @@ def test_labels_without_two_classes(spark, truth):
     docs = spark.createDataFrame([(1, "bad words"), (None, None), (1, "")], "doc_id long, text string")
     got = classify(docs, chain).collect()
     assert {r["toxic"] for r in got} == {bool(truth) and truth[0][2] == 1.0}
+
+
+def test_the_tree_grows_with_the_corpus(spark):
+    # 20 occurrences are enough among 1,200,000 tokens as well
+    texts = ["p q r"] * 20 + ["z " * 1200] * 1000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tree = fit_suffix_tree(docs).tree
+    p, q, r = (tree.words[t] for t in (b"p", b"q", b"r"))
+    for path, symbol in (((p,), q), ((q,), r)):
+        listed, values = tree.listed[tree.paths[path]]
+        assert 10.0 ** values[listed == symbol][0] > 0.9
+
+
+def test_joined_scores_equal_sent_ones(spark, monkeypatch):
+    texts = ["a b c a b c a b d"] * 60 + ["x a y a z a"] * 40 + [None, "", "new a b c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = fit_suffix_tree(docs, settings=Settings(depth=3))
+    assert len(model.levels) == 3
+    want = {r["doc_id"]: r["score"] for r in score_texts(docs, model).collect()}
+    for sent in (0, 3):
+        monkeypatch.setattr("pairmatch.llm.suffix_tree.MOST_SENT", sent)
+        got = {r["doc_id"]: r["score"] for r in score_texts(docs, model).collect()}
+        assert got == pytest.approx(want)
