@@ -17,8 +17,22 @@ from pyspark.sql import functions as F
 from pairmatch.functions import text as T
 from pairmatch.operators.pairs import latest_text
 from pairmatch.operators.sampling import SEED, stratified_folds
+from pairmatch.session import work_dir
 
 FOLD = "fold"
+WEIGHT = "_weight"
+
+
+def weighted(df: DataFrame, positive: float = 1.237, label: str = "is_duplicate") -> DataFrame:
+    """Add the weight of each row: that of the positive class, or 1."""
+    return df.withColumn(WEIGHT, F.when(F.col(label) == 1, positive).otherwise(1.0))
+
+
+def _with_checkpoints(df: DataFrame) -> None:
+    """Many rounds need checkpoints, or each one reads through all before it."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(work_dir(df.sparkSession, "rounds"))
 
 
 def fit_word2vec(
@@ -189,19 +203,20 @@ def fit_boosted_trees(
     All rounds are fitted first and the model is refitted with the chosen number and the same
     seed, since the built-in rule would end at the first small gain.
     """
-    weighted = df.withColumn("_weight", F.when(F.col(label) == 1, positive_weight).otherwise(1.0))
+    _with_checkpoints(df)
+    rows = weighted(df, positive_weight, label)
     trees = GBTClassifier(
-        featuresCol="features", labelCol=label, weightCol="_weight", maxIter=rounds,
+        featuresCol="features", labelCol=label, weightCol=WEIGHT, maxIter=rounds,
         stepSize=step, maxDepth=depth, subsamplingRate=row_share,
         featureSubsetStrategy=str(column_share), minInstancesPerNode=min_rows,
         minInfoGain=min_gain, seed=seed,
     )
     stages = Pipeline(stages=[assembler(columns), trees])
     if not validation:
-        return stages.fit(weighted)
-    used = weighted.where(~F.col(validation))
+        return stages.fit(rows)
+    used = rows.where(~F.col(validation))
     model = stages.fit(used)
-    held = model.stages[0].transform(weighted.where(validation))
+    held = model.stages[0].transform(rows.where(validation))
     best = best_round(model.stages[1].evaluateEachIteration(held), patience)
     if best == rounds:
         return model
@@ -219,11 +234,21 @@ def best_round(losses: list[float], patience: int) -> int:
     return best + 1
 
 
-def tree_grid(rounds: int = 350, label: str = "is_duplicate", seed: int = SEED):
-    """Boosted trees and their grid of twelve settings."""
+def tree_grid(
+    rounds: int = 350, label: str = "is_duplicate", seed: int = SEED,
+    weight_col: str | None = None, min_gain: float = 0.0,
+):
+    """Boosted trees and their grid of twelve settings.
+
+    ``min_gain`` is a decrease in variance: the reference's least gain is in units of its own
+    loss and has no equal here.
+    """
     trees = GBTClassifier(
-        featuresCol="features", labelCol=label, maxIter=rounds, stepSize=0.1, maxDepth=8, seed=seed
-    )
+        featuresCol="features", labelCol=label, maxIter=rounds, stepSize=0.1, maxDepth=8,
+        minInfoGain=min_gain, seed=seed,
+    )
+    if weight_col:
+        trees = trees.setWeightCol(weight_col)
     grid = (
         ParamGridBuilder()
         .addGrid(trees.minInstancesPerNode, [5, 6])
@@ -254,6 +279,7 @@ def grid_fit(
     label: str = "is_duplicate", key: str = "id", parallelism: int = 2,
 ) -> CrossValidatorModel:
     """Best setting by mean log loss over class-balanced folds, refitted on all rows."""
+    _with_checkpoints(df)
     evaluator = MulticlassClassificationEvaluator(labelCol=label, metricName="logLoss")
     cv = CrossValidator(
         estimator=estimator, estimatorParamMaps=grid, evaluator=evaluator, numFolds=folds,

@@ -8,6 +8,7 @@ from pairmatch.operators import evaluate as E
 from pairmatch.operators import features, grid, learn, pairs, sampling
 from pairmatch.plans import views as V
 from pairmatch.plans.blocks import with_blocks
+from pairmatch.plans.feature_queries import model_table
 from pairmatch.plans.registry import query
 from pairmatch.session import work_dir, written
 
@@ -140,6 +141,12 @@ def _train_rows(spark, sf):
     return _model_rows(spark, sf).where("type = 'TR'").drop("type")
 
 
+def _table_rows(spark, sf):
+    """All 792 inputs of the text pairs as the vector ``inputs``, for the boosted trees."""
+    rows = features.feature_vector(model_table(spark, sf), "inputs")
+    return written(rows.select("id", "type", "is_duplicate", "inputs"), "table-rows")
+
+
 @query("train_word_vectors")
 def train_word_vectors(spark, sf):
     cleaned = pairs.rename(
@@ -179,17 +186,17 @@ def linear_discriminant(spark, sf):
 
 @query("boosted_trees")
 def boosted_trees(spark, sf):
-    rows = _train_rows(spark, sf)
+    rows = _table_rows(spark, sf).where("type = 'TR'")
     rows = rows.withColumn("valid", sampling.slot(F.col("id")) < 200)
-    model = learn.fit_boosted_trees(rows, NUMERIC, rounds=20, step=0.1, depth=5, validation="valid")
+    model = learn.fit_boosted_trees(rows, ["inputs"], validation="valid")
     return learn.score(model, rows.where("valid"), name="boosted")
 
 
 @query("grid_search_trees")
 def grid_search_trees(spark, sf):
-    rows = learn.assembler(NUMERIC).transform(_train_rows(spark, sf))
-    trees, settings = learn.tree_grid(rounds=2)
-    trees = trees.setMaxDepth(3)
+    rows = _table_rows(spark, sf).where("type = 'TR'").withColumnRenamed("inputs", "features")
+    rows = learn.weighted(rows)
+    trees, settings = learn.tree_grid(weight_col=learn.WEIGHT)
     fitted = learn.grid_fit(rows, trees, settings, folds=5, parallelism=4)
     return spark.createDataFrame(learn.grid_scores(fitted), "setting string, log_loss double")
 
@@ -207,19 +214,17 @@ def grid_search_mlp(spark, sf):
 @query("batch_score")
 def batch_score(spark, sf):
     """Fit on the labelled pairs, score every pair without a label."""
-    rows = _model_rows(spark, sf)
-    model = learn.fit_boosted_trees(
-        rows.where("type = 'TR'"), NUMERIC, rounds=5, step=0.1, depth=4
-    )
+    rows = _table_rows(spark, sf)
+    model = learn.fit_boosted_trees(rows.where("type = 'TR'"), ["inputs"])
     return learn.score(model, rows.where("type = 'TS'"), name="boosted")
 
 
 @query("save_load_model")
 def save_load_model(spark, sf):
     """Scores of all pairs by a model and by its stored copy."""
-    rows = _model_rows(spark, sf)
+    rows = _table_rows(spark, sf)
     path = work_dir(spark, "model")
-    model = learn.fit_boosted_trees(rows.where("type = 'TR'"), NUMERIC, rounds=3, depth=3)
+    model = learn.fit_boosted_trees(rows.where("type = 'TR'"), ["inputs"])
     learn.save_model(model, path)
     own = learn.score(model, rows, name="fitted")
     return own.unionByName(learn.score(learn.load_model(path), rows, name="reloaded"))
