@@ -6,8 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairmatch.llm.alignment import link_counts
+from pairmatch.llm.collocations import collocations
 from pairmatch.llm.decontamination import contamination
 from pairmatch.llm.exact_dedup import exact_duplicates
+from pairmatch.llm.line_dedup import LineIndex
 from pairmatch.llm.minhash import near_duplicates
 from pairmatch.llm.mixing import mixed
 from pairmatch.llm.ring import ring_shards
@@ -299,3 +302,87 @@ def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs.select("doc_id", "text"), chain).select(
         "doc.doc_id", *(f"p_{name}" for name in CATEGORIES), *CATEGORIES
     )
+
+
+@query(
+    "op11_line_dedup",
+    r"""
+    WITH l AS (
+        SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+        FROM documents
+    ), k AS (
+        SELECT *, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key
+        FROM l
+    ), common AS (
+        SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+    ), marked AS (
+        SELECT k.*, common.key IS NOT NULL AS gone FROM k LEFT JOIN common USING (key)
+    )
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+    FROM marked GROUP BY doc_id
+    """,
+)
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that ten or more of them share."""
+    docs = load(spark, sf_dir, "documents")
+    index = LineIndex(spark, min_docs=10).insert(docs)
+    return index.drop(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+@query(
+    "op12_collocations",
+    r"""
+    WITH p AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                             'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents
+    ), w AS (
+        SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+    ), totals AS (
+        SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang
+    ), grams AS (
+        SELECT lang, w[i : i + k - 1] AS g, count(*) AS f
+        FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+             (SELECT unnest([1, 2, 3]) AS k)
+        WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 10
+    ), cuts AS (
+        SELECT c.lang, c.g, c.f AS a, x.f AS l, y.f AS r, len(x.g) AS k,
+               ((1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f))::BIGINT AS score
+        FROM (SELECT *, unnest(range(1, len(g))) AS split FROM grams) c
+        JOIN grams x ON x.lang = c.lang AND x.g = c.g[1 : split]
+        JOIN grams y ON y.lang = c.lang AND y.g = c.g[split + 1 : len(c.g)]
+    ), weakest AS (
+        SELECT * FROM cuts
+        QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+    ), inner_ones AS (
+        SELECT lang, part, max(f) AS f
+        FROM (SELECT lang, f, unnest([g[1:2], g[2:3]]) AS part FROM grams WHERE len(g) = 3)
+        GROUP BY lang, part
+    ), kept AS (
+        SELECT w.lang, array_to_string(w.g, ' ') AS phrase, a, l, r, score
+        FROM weakest w LEFT JOIN inner_ones i ON i.lang = w.lang AND i.part = w.g
+        WHERE NOT coalesce(100 * i.f >= 50 * a, FALSE)
+    ), ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+        FROM kept
+    )
+    SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang)
+    WHERE rank <= 2000
+    """,
+)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest collocations of each language in all documents."""
+    return collocations(load(spark, sf_dir, "documents"))
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents by two tokenizers, aligned."""
+    models = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return link_counts(load(spark, sf_dir, "documents"), *models).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
