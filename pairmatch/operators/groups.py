@@ -1,11 +1,15 @@
-"""User functions on parts of a table."""
+"""User functions on the groups or parts of a table."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
+
+from pairmatch.session import written
 
 
 def apply_groups(
@@ -23,3 +27,60 @@ def apply_groups(
             yield fn(batch, **kwargs)
 
     return df.mapInPandas(run, schema)
+
+
+def apply_by_key(
+    df: DataFrame,
+    key: str | list[str],
+    fn: Callable[..., Iterator[pd.DataFrame]],
+    schema: str,
+    **kwargs,
+) -> DataFrame:
+    """Run ``fn(frames, **kwargs)`` on every group of ``key`` and stack what it yields.
+
+    ``frames`` iterates over the rows of one group, an Arrow batch at a time, so a large group
+    is never held at once; ``fn`` sees each row once, in any order, and may yield as many frames
+    as it likes. Each group is one pass of one task: where groups may be very large, use
+    ``combine_by_key``. A null key is a group of its own. No rows, no groups.
+    """
+    result = arrow_schema(df, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in fn((batch.to_pandas() for batch in batches), **kwargs):
+            yield from pa.Table.from_pandas(frame, result, preserve_index=False).to_batches()
+
+    return df.groupBy(key).applyInArrow(run, schema)
+
+
+def combine_by_key(
+    df: DataFrame,
+    key: str | list[str],
+    part: Callable[..., pd.DataFrame],
+    combine: Callable[..., Iterator[pd.DataFrame]],
+    part_schema: str,
+    schema: str,
+    **kwargs,
+) -> DataFrame:
+    """A function of whole groups from parts of them, for keys that hold many rows.
+
+    ``part(frame, **kwargs)`` gets the rows of one key in one batch where they are read and
+    returns a few rows with the key; these alone are shuffled, and ``combine`` works on them as
+    in ``apply_by_key``. So a key with a third of all rows sends a row or two for each batch.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    result = arrow_schema(df, part_schema)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups = batch.to_pandas().groupby(keys, dropna=False, sort=False)
+            for frame in (part(group, **kwargs) for _, group in groups):
+                yield from pa.Table.from_pandas(frame, result, preserve_index=False).to_batches()
+
+    summed = written(df.mapInArrow(parts, part_schema), "parts")
+    return apply_by_key(summed, keys, combine, schema, **kwargs)
+
+
+def arrow_schema(df: DataFrame, schema: str) -> pa.Schema:
+    """The Arrow types of a schema text."""
+    empty = df.sparkSession.createDataFrame([], StructType.fromDDL(schema))
+    return empty.toArrow().schema

@@ -5,27 +5,19 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
+from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler, Word2Vec, Word2VecModel
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairmatch.functions import text as T
-from pairmatch.operators.pairs import latest_text
 from pairmatch.operators.sampling import SEED, stratified_folds
 from pairmatch.session import work_dir
 
 FOLD = "fold"
-WEIGHT = "_weight"
-
-
-def weighted(df: DataFrame, positive: float = 1.237, label: str = "is_duplicate") -> DataFrame:
-    """Add the weight of each row: that of the positive class, or 1."""
-    return df.withColumn(WEIGHT, F.when(F.col(label) == 1, positive).otherwise(1.0))
 
 
 def _with_checkpoints(df: DataFrame) -> None:
@@ -35,29 +27,6 @@ def _with_checkpoints(df: DataFrame) -> None:
         context.setCheckpointDir(work_dir(df.sparkSession, "rounds"))
 
 
-def fit_word2vec(
-    pairs: DataFrame, size: int = 200, window: int = 5, min_count: int = 3,
-    partitions: int = 1, iterations: int = 1, seed: int = SEED,
-) -> Word2VecModel:
-    """Word vectors from the deduplicated training questions.
-
-    ``pairs`` has the question texts already cleaned. Spark trains skip-gram vectors.
-    """
-    docs = latest_text(pairs).select(T.tokenize(F.col("text")).alias("tokens"))
-    word2vec = Word2Vec(
-        vectorSize=size, windowSize=window, minCount=min_count, numPartitions=partitions,
-        maxIter=iterations, seed=seed, inputCol="tokens", outputCol="vector",
-    )
-    return word2vec.fit(docs)
-
-
-def vectors_table(model: Word2VecModel) -> DataFrame:
-    """Fitted word vectors as ``(word, vector)``."""
-    return model.getVectors().select(
-        "word", vector_to_array("vector").cast("array<float>").alias("vector")
-    )
-
-
 def assembler(columns: list[str], name: str = "features") -> VectorAssembler:
     """Columns to one vector."""
     return VectorAssembler(inputCols=columns, outputCol=name)
@@ -190,75 +159,6 @@ def fit_discriminant(
     )
 
 
-def fit_boosted_trees(
-    df: DataFrame, columns: list[str], label: str = "is_duplicate", rounds: int = 500,
-    step: float = 0.01, depth: int = 9, row_share: float = 0.8, column_share: float = 0.7,
-    positive_weight: float = 1.237, min_rows: int = 5, min_gain: float = 0.0,
-    validation: str | None = None, patience: int = 100, seed: int = SEED,
-) -> PipelineModel:
-    """Boosted trees with logistic loss.
-
-    With a boolean ``validation`` column, the trees are fitted on the other rows, and the round
-    counts that had the least validation loss before ``patience`` rounds without a better one.
-    All rounds are fitted first and the model is refitted with the chosen number and the same
-    seed, since the built-in rule would end at the first small gain.
-    """
-    _with_checkpoints(df)
-    rows = weighted(df, positive_weight, label)
-    trees = GBTClassifier(
-        featuresCol="features", labelCol=label, weightCol=WEIGHT, maxIter=rounds,
-        stepSize=step, maxDepth=depth, subsamplingRate=row_share,
-        featureSubsetStrategy=str(column_share), minInstancesPerNode=min_rows,
-        minInfoGain=min_gain, seed=seed,
-    )
-    stages = Pipeline(stages=[assembler(columns), trees])
-    if not validation:
-        return stages.fit(rows)
-    used = rows.where(~F.col(validation))
-    model = stages.fit(used)
-    held = model.stages[0].transform(rows.where(validation))
-    best = best_round(model.stages[1].evaluateEachIteration(held), patience)
-    if best == rounds:
-        return model
-    return Pipeline(stages=[assembler(columns), trees.setMaxIter(best)]).fit(used)
-
-
-def best_round(losses: list[float], patience: int) -> int:
-    """The round (from 1) of the least loss before ``patience`` rounds bring no better one."""
-    best = 0
-    for k, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = k
-        elif k - best >= patience:
-            break
-    return best + 1
-
-
-def tree_grid(
-    rounds: int = 350, label: str = "is_duplicate", seed: int = SEED,
-    weight_col: str | None = None, min_gain: float = 0.0,
-):
-    """Boosted trees and their grid of twelve settings.
-
-    ``min_gain`` is a decrease in variance: the reference's least gain is in units of its own
-    loss and has no equal here.
-    """
-    trees = GBTClassifier(
-        featuresCol="features", labelCol=label, maxIter=rounds, stepSize=0.1, maxDepth=8,
-        minInfoGain=min_gain, seed=seed,
-    )
-    if weight_col:
-        trees = trees.setWeightCol(weight_col)
-    grid = (
-        ParamGridBuilder()
-        .addGrid(trees.minInstancesPerNode, [5, 6])
-        .addGrid(trees.subsamplingRate, [0.7, 0.8, 0.9])
-        .addGrid(trees.featureSubsetStrategy, ["0.7", "0.8"])
-        .build()
-    )
-    return trees, grid
-
-
 def perceptron_grid(n_features: int, label: str = "is_duplicate", rounds: int = 20, seed: int = SEED):
     """Multi-layer perceptron and its grid over solver and step size."""
     mlp = MultilayerPerceptronClassifier(
@@ -294,22 +194,3 @@ def grid_scores(model: CrossValidatorModel) -> list[tuple[str, float]]:
         (", ".join(f"{p.name}={v}" for p, v in params.items()), float(metric))
         for params, metric in zip(model.getEstimatorParamMaps(), model.avgMetrics)
     ]
-
-
-def score(model: Model, df: DataFrame, key: str = "id", name: str = "model") -> DataFrame:
-    """``(test_id, model, is_duplicate_0, is_duplicate_1)`` of every row."""
-    p = vector_to_array("probability")
-    return model.transform(df).select(
-        F.col(key).alias("test_id"), F.lit(name).alias("model"),
-        p[0].alias("is_duplicate_0"), p[1].alias("is_duplicate_1"),
-    )
-
-
-def save_model(model: PipelineModel, path: str) -> None:
-    """Write a fitted pipeline."""
-    model.write().overwrite().save(path)
-
-
-def load_model(path: str) -> PipelineModel:
-    """Read a fitted pipeline."""
-    return PipelineModel.load(path)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from pairmatch.functions import text as T
+from pairmatch.operators import boosting as B
 from pairmatch.operators import evaluate as E
 from pairmatch.operators import features, grid, learn, pairs, sampling
+from pairmatch.operators.word_vectors import fit_word_vectors
 from pairmatch.plans import views as V
 from pairmatch.plans.blocks import with_blocks
 from pairmatch.plans.feature_queries import model_table
@@ -142,17 +146,20 @@ def _train_rows(spark, sf):
 
 
 def _table_rows(spark, sf):
-    """All 792 inputs of the text pairs as the vector ``inputs``, for the boosted trees."""
+    """All 792 inputs of the text pairs as the array ``inputs``, for the boosted trees."""
     rows = features.feature_vector(model_table(spark, sf), "inputs")
-    return written(rows.select("id", "type", "is_duplicate", "inputs"), "table-rows")
+    inputs = vector_to_array("inputs").alias("inputs")
+    return written(rows.select("id", "type", "is_duplicate", inputs), "table-rows")
 
 
 @query("train_word_vectors")
 def train_word_vectors(spark, sf):
+    """Vectors from the latest text of each training question."""
     cleaned = pairs.rename(
         V.cleaned_pairs(spark, sf), {"q1nopunct": "question1", "q2nopunct": "question2"}
     )
-    return learn.vectors_table(learn.fit_word2vec(cleaned, partitions=8))
+    texts = pairs.latest_text(cleaned).select(T.tokenize(F.col("text")).alias("tokens"))
+    return fit_word_vectors(written(texts, "sentences"))
 
 
 def _grids(spark, sf):
@@ -184,21 +191,25 @@ def linear_discriminant(spark, sf):
     return fit.transform(rows).select("id", "is_duplicate", "LD1", "posterior_1", "class")
 
 
+#: Settings of the tree grid that do not change.
+GRID_BASE = B.Settings(rounds=350, step=0.1, depth=8, gamma=1.076)
+
+
 @query("boosted_trees")
 def boosted_trees(spark, sf):
+    """Fit with early stopping, score the rows held out."""
     rows = _table_rows(spark, sf).where("type = 'TR'")
     rows = rows.withColumn("valid", sampling.slot(F.col("id")) < 200)
-    model = learn.fit_boosted_trees(rows, ["inputs"], validation="valid")
-    return learn.score(model, rows.where("valid"), name="boosted")
+    return B.fit_model(rows, held="valid").score(rows.where("valid"), name="boosted")
 
 
 @query("grid_search_trees")
 def grid_search_trees(spark, sf):
-    rows = _table_rows(spark, sf).where("type = 'TR'").withColumnRenamed("inputs", "features")
-    rows = learn.weighted(rows)
-    trees, settings = learn.tree_grid(weight_col=learn.WEIGHT)
-    fitted = learn.grid_fit(rows, trees, settings, folds=5, parallelism=4)
-    return spark.createDataFrame(learn.grid_scores(fitted), "setting string, log_loss double")
+    rows = _table_rows(spark, sf).where("type = 'TR'")
+    settings = B.grid(
+        GRID_BASE, child_weight=[5.0, 6.0], row_share=[0.7, 0.8, 0.9], column_share=[0.7, 0.8]
+    )
+    return B.grid_scores(rows, settings, 5, ["child_weight", "row_share", "column_share"])
 
 
 @query("grid_search_mlp")
@@ -213,10 +224,12 @@ def grid_search_mlp(spark, sf):
 
 @query("batch_score")
 def batch_score(spark, sf):
-    """Fit on the labelled pairs, score every pair without a label."""
+    """Fit on the labelled pairs, store the model, score every pair without a label."""
     rows = _table_rows(spark, sf)
-    model = learn.fit_boosted_trees(rows.where("type = 'TR'"), ["inputs"])
-    return learn.score(model, rows.where("type = 'TS'"), name="boosted")
+    train = rows.where("type = 'TR'").withColumn("valid", sampling.slot(F.col("id")) < 200)
+    path = work_dir(spark, "model")
+    B.fit_model(train, held="valid").save(spark, path)
+    return B.BoostedTrees.load(spark, path).score(rows.where("type = 'TS'"), name="boosted")
 
 
 @query("save_load_model")
@@ -224,7 +237,7 @@ def save_load_model(spark, sf):
     """Scores of all pairs by a model and by its stored copy."""
     rows = _table_rows(spark, sf)
     path = work_dir(spark, "model")
-    model = learn.fit_boosted_trees(rows.where("type = 'TR'"), ["inputs"])
-    learn.save_model(model, path)
-    own = learn.score(model, rows, name="fitted")
-    return own.unionByName(learn.score(learn.load_model(path), rows, name="reloaded"))
+    model = B.fit_model(rows.where("type = 'TR'"))
+    model.save(spark, path)
+    again = B.BoostedTrees.load(spark, path)
+    return model.score(rows, name="fitted").unionByName(again.score(rows, name="reloaded"))

@@ -9,7 +9,7 @@ from pairmatch.functions import vectors as X
 from pairmatch.functions.words import ALLOWED_NUMBERS, STOP_WORDS
 from pairmatch.operators import features, grid, joins, pairs as P, profile as R, sampling, taxonomy
 from pairmatch.operators.rows import exploded
-from pairmatch.plans import views as V
+from pairmatch.plans import blocks as B, views as V
 from pairmatch.plans.blocks import NUMBERS_SQL, STOP_SQL, with_blocks
 from pairmatch.plans.registry import query
 from pairmatch.session import written
@@ -337,12 +337,33 @@ def cooccurrence(spark, sf):
     return R.cooccurrence(V.doc_tokens(spark, sf), ["ring", "the", "of", "la"])
 
 
+@query("cooccurrence_matrix", f"""
+    WITH t AS (
+        SELECT conv_id, turn, {B.tokens("strip_accents(lower(text))")} AS w FROM conversations
+    ), g AS (
+        SELECT conv_id, turn, unnest(list_concat(w, list_transform(range(1, len(w)),
+                   lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM t
+    ), c AS (
+        SELECT conv_id, turn, term, count(*) AS n FROM g GROUP BY ALL
+    ), m AS (
+        SELECT a.term, b.term AS other, sum(a.n * b.n)::BIGINT AS n
+        FROM c a JOIN c b USING (conv_id, turn) WHERE a.term <> b.term GROUP BY ALL
+    )
+    SELECT term, count(*) AS n_terms, sum(n)::BIGINT AS total, max(n) AS most FROM m GROUP BY term""")
+def cooccurrence_matrix(spark, sf):
+    """What each term's row of the matrix of one- and two-grams of all turns adds up to."""
+    turns = V.load(spark, sf, "conversations")
+    plain = T.strip_accents(F.lower("text"))
+    tokens = V.spread(turns, "conv_id").select(T.tokenize(plain).alias("tokens"))
+    return R.matrix_rows(R.cooccurrence_matrix(tokens, 2))
+
+
 @query("word_frequency", """
     SELECT word, count(*) AS n FROM
         (SELECT unnest(string_split_regex(lower(text), '\\s+')) AS word FROM documents)
     WHERE word <> '' GROUP BY word""")
 def word_frequency(spark, sf):
-    docs = V.load(spark, sf, "documents").select(T.split_whitespace(F.col("text")).alias("tokens"))
+    docs = V.documents(spark, sf).select(T.split_whitespace(F.col("text")).alias("tokens"))
     return R.word_frequency(docs)
 
 
@@ -352,7 +373,7 @@ def word_frequency(spark, sf):
         WHERE word <> '' GROUP BY word)
     SELECT word, n, round_even(1 - ln(n + 1) / ln((SELECT sum(n) FROM freq) + 1), 6) AS info FROM freq""")
 def information_content(spark, sf):
-    docs = V.load(spark, sf, "documents").select(T.split_whitespace(F.col("text")).alias("tokens"))
+    docs = V.documents(spark, sf).select(T.split_whitespace(F.col("text")).alias("tokens"))
     info = R.info_content(written(R.word_frequency(docs), "frequency"))
     return info.withColumn("info", F.bround("info", 6))
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from pairmatch.functions import text as T
 from pairmatch.functions.stem import stem_vocabulary
 from pairmatch.functions.words import effective_stop_words
 from pairmatch.operators import features, pairs as P, tfidf
-from pairmatch.operators.groups import apply_groups
+from pairmatch.operators.groups import apply_by_key, apply_groups, combine_by_key
 from pairmatch.operators.rows import exploded
 from pairmatch.plans import views as V
 from pairmatch.plans import blocks as B
@@ -18,14 +19,14 @@ from pairmatch.plans.registry import query
 
 @query("normalize_text", f"SELECT doc_id, {B.normalized('text')} AS text FROM documents")
 def normalize_text(spark, sf):
-    return V.load(spark, sf, "documents").select(
+    return V.documents(spark, sf).select(
         "doc_id", T.normalize_text(F.col("text")).alias("text")
     )
 
 
 @query("strip_punct", f"SELECT doc_id, {B.without_punct('text')} AS text FROM documents")
 def strip_punct(spark, sf):
-    return V.load(spark, sf, "documents").select("doc_id", T.strip_punct(F.col("text")).alias("text"))
+    return V.documents(spark, sf).select("doc_id", T.strip_punct(F.col("text")).alias("text"))
 
 
 @query("expand_thousands", f"""
@@ -40,7 +41,7 @@ def expand_thousands(spark, sf):
     FROM doc_tokens""", "doc_tokens"))
 def drop_stopwords(spark, sf):
     text = T.clean_text(F.col("text"))
-    return V.load(spark, sf, "documents").select("doc_id", T.drop_stopwords(text).alias("text"))
+    return V.documents(spark, sf).select("doc_id", T.drop_stopwords(text).alias("text"))
 
 
 @query("stem_tokens", with_blocks("SELECT word, stem FROM stems", "doc_tokens", "stems", own={
@@ -88,7 +89,7 @@ def char_count(spark, sf):
 
 @query("strip_accents", "SELECT doc_id, strip_accents(text) AS text FROM documents")
 def strip_accents(spark, sf):
-    return V.load(spark, sf, "documents").select(
+    return V.documents(spark, sf).select(
         "doc_id", T.strip_accents(F.col("text")).alias("text")
     )
 
@@ -135,10 +136,61 @@ def apply_groups_query(spark, sf):
         n_words = frame["text"].str.count(separator) + 1
         return frame[["doc_id"]].assign(n_words=n_words)
 
-    docs = V.load(spark, sf, "documents").select("doc_id", "text")
+    docs = V.documents(spark, sf)
     return apply_groups(docs, count_words, "doc_id long, n_words long", separator=" ")
 
 
+@query("apply_by_key", """
+    SELECT event_type, count(*) AS n, round_even(avg(value), 6) AS mean,
+           round_even(stddev_pop(value), 6) AS deviation, max(value) - min(value) AS spread
+    FROM events GROUP BY event_type""")
+def apply_by_key_query(spark, sf):
+    """Mean and deviation of each group in one pass, which no function of single rows can give."""
+
+    def moments(frames, digits):
+        n, mean, m2, low, high = 0, 0.0, 0.0, float("inf"), float("-inf")
+        for frame in frames:
+            v = frame["value"].to_numpy()
+            ahead, away = n + len(v), v.mean() - mean
+            m2 += ((v - v.mean()) ** 2).sum() + away**2 * n * len(v) / ahead
+            mean, n = mean + away * len(v) / ahead, ahead
+            low, high = min(low, v.min()), max(high, v.max())
+            name = frame["event_type"].iloc[0]
+        row = (name, n, round(mean, digits), round((m2 / n) ** 0.5, digits), high - low)
+        yield pd.DataFrame([row], columns=["event_type", "n", "mean", "deviation", "spread"])
+
+    events = V.load(spark, sf, "events").select("event_type", "value")
+    schema = "event_type string, n long, mean double, deviation double, spread double"
+    return apply_by_key(events, "event_type", moments, schema, digits=6)
+
+
+@query("combine_by_key", """
+    SELECT user_id, count(*) AS n, max(gap) AS longest_gap FROM (
+        SELECT user_id, epoch(ts)::BIGINT - lag(epoch(ts)::BIGINT) OVER (PARTITION BY user_id ORDER BY ts) AS gap
+        FROM events) GROUP BY user_id""")
+def combine_by_key_query(spark, sf):
+    """The longest time between two events of a user, from the distinct times of each part."""
+
+    def seconds(frame):
+        times = frame["s"].value_counts()
+        return pd.DataFrame({"user_id": frame["user_id"].iloc[0], "s": times.index, "n": times.values})
+
+    def longest_gap(frames):
+        rows = pd.concat(list(frames))
+        times = sorted(rows["s"])
+        n = int(rows["n"].sum())
+        gap = max((b - a for a, b in zip(times, times[1:])), default=0 if n > 1 else None)
+        yield pd.DataFrame({
+            "user_id": rows["user_id"].iloc[:1], "n": [n], "longest_gap": pd.array([gap], "Int64"),
+        })
+
+    events = V.load(spark, sf, "events").select("user_id", F.col("ts").cast("long").alias("s"))
+    return combine_by_key(
+        events, "user_id", seconds, longest_gap, "user_id long, s long, n long",
+        "user_id long, n long, longest_gap long",
+    )
+
+
 @query("clean_flow", with_blocks("""
     SELECT id, is_duplicate, "tr_q1WrdCnt", "tr_q2WrdCnt", "tr_q1Len", "tr_q2Len", wrdmatchpct
     FROM basic""", "basic"))

@@ -16,13 +16,28 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt over the session's cores if the planned scan has fewer parts.
+
+    A small table is read from one row group, and all that follows would be one task. A large
+    one has more parts than cores, and nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and texts of the documents."""
+    return spread(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
 def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a document and the next one, with whole texts.
 
     Pairs of a labelled document are training pairs (``TR``), the others are to be scored
     (``TS``) and have no label.
     """
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     labels = load(spark, sf_dir, "labels").select("doc_id", "quality")
     first = docs.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("id"), F.col("doc_id").alias("qid1"),
@@ -65,7 +80,7 @@ def token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned tokens of every document."""
-    docs = load(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return docs.select("doc_id", T.tokenize(T.clean_text(F.col("text"))).alias("tokens"))
 
 

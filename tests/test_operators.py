@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairmatch.operators import (
     evaluate, features, grid, joins, learn, pairs, profile, rows, sampling, taxonomy, tfidf,
 )
-from pairmatch.operators.groups import apply_groups
+from pairmatch.operators.groups import apply_by_key, apply_groups, combine_by_key
 
 
 def test_row_numbers_follow_the_key_whatever_its_distribution(spark):
@@ -112,13 +112,6 @@ def test_oversample_follows_the_doubling_rule(spark, share, target):
     assert out.where("is_duplicate = 1").count() == sum(labels)
 
 
-def test_best_round_waits_for_a_better_one():
-    losses = [5, 4, 4.5, 4.2, 3, 3.5, 3.4, 3.3, 2]
-    assert learn.best_round(losses, 2) == 2
-    assert learn.best_round(losses, 3) == 5
-    assert learn.best_round(losses, 100) == 9
-
-
 def test_folds_and_splits(spark):
     df = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(203)], "id long, is_duplicate int")
     folds = sampling.stratified_folds(df, 5).groupBy("is_duplicate", "fold").count().collect()
@@ -338,7 +331,7 @@ def test_discriminant_separates_two_classes(spark):
     assert right > 0.85
 
 
-def test_pca_and_models(spark, tmp_path):
+def test_pca(spark):
     rng = np.random.default_rng(5)
     data = [(i, [float(v) for v in rng.normal(i % 2, 1, 6)], i % 2) for i in range(80)]
     df = spark.createDataFrame(data, "id long, grid array<double>, is_duplicate int")
@@ -349,19 +342,62 @@ def test_pca_and_models(spark, tmp_path):
     z = (x - x.mean(0)) / x.std(0, ddof=1)
     eigen = np.sort(np.linalg.eigvalsh(np.cov(z.T, bias=True)))[::-1][:3]
     assert np.allclose([r["variance"] for r in scree], eigen)
-    wide = df.select("id", "is_duplicate", *[F.col("grid")[i].alias(f"f{i}") for i in range(6)])
-    names = [f"f{i}" for i in range(6)]
-    model = learn.fit_boosted_trees(wide, names, rounds=2, depth=2, min_rows=1)
-    learn.save_model(model, str(tmp_path / "model"))
-    again = learn.load_model(str(tmp_path / "model"))
-    a = learn.score(model, wide).orderBy("test_id").collect()
-    assert a == learn.score(again, wide).orderBy("test_id").collect()
-
-
-def test_grid_search(spark):
-    data = [(i, float(i % 2) + 0.01 * i, i % 2) for i in range(40)]
-    df = learn.assembler(["x"]).transform(spark.createDataFrame(data, "id long, x double, is_duplicate int"))
-    trees, settings = learn.tree_grid(rounds=1)
-    assert len(settings) == 12
-    scores = learn.grid_scores(learn.grid_fit(df, trees.setMaxDepth(1), settings[:2], folds=2))
-    assert len(scores) == 2 and all(s > 0 for _, s in scores)
+
+
+def test_cooccurrence_matrix(spark):
+    rng = np.random.default_rng(1)
+    docs = [[f"w{k}" for k in rng.integers(0, 30, n)] for n in (0, 1, 5, 80, 200)]
+    df = spark.createDataFrame([(d,) for d in docs], "tokens array<string>")
+    for max_n, block in ((1, 256), (2, 7)):
+        want = {}
+        for d in docs:
+            grams = [" ".join(d[i : i + k]) for k in range(1, max_n + 1) for i in range(len(d) - k + 1)]
+            counts = {g: grams.count(g) for g in grams}
+            for a, b in itertools.combinations(sorted(counts), 2):
+                want[a, b] = want.get((a, b), 0) + counts[a] * counts[b]
+        got = profile.cooccurrence_matrix(df, max_n, block)
+        assert {(r["term1"], r["term2"]): r["n"] for r in got.collect()} == want
+        row = {r["term"]: r for r in profile.matrix_rows(got).collect()}["w3"]
+        own = [n for pair, n in want.items() if "w3" in pair]
+        assert (row["n_terms"], row["total"], row["most"]) == (len(own), sum(own), max(own))
+    assert profile.cooccurrence_matrix(df.limit(0)).count() == 0
+
+
+def test_functions_of_groups_see_them_in_parts(spark):
+    rows = [(k % 7 if k % 11 else None, float(k)) for k in range(5000)] + [(1, 0.5)] * 20000
+    df = spark.createDataFrame(rows, "key int, v double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+    def total(frames, times):
+        n, s, most = 0, 0.0, 0
+        for frame in frames:
+            n, s, most = n + len(frame), s + frame["v"].sum(), max(most, len(frame))
+        yield frame[["key"]].head(1).assign(n=n, total=s * times, most=most)
+
+    try:
+        schema = "key int, n long, total double, most long"
+        got = {r["key"]: r for r in apply_by_key(df, "key", total, schema, times=2).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for k, v in rows:
+        n, s = want.get(k, (0, 0.0))
+        want[k] = (n + 1, s + v)
+    assert {k: (r["n"], r["total"]) for k, r in got.items()} == {k: (n, 2 * s) for k, (n, s) in want.items()}
+    assert max(r["most"] for r in got.values()) <= 1000  # never a whole large group
+    assert apply_by_key(df.limit(0), "key", total, schema, times=2).count() == 0
+
+    def part(frame, times):
+        return frame[["key"]].head(1).assign(n=len(frame), v=frame["v"].sum())
+
+    def combine(frames, times):
+        for frame in frames:
+            yield frame[["key"]].head(1).assign(n=frame["n"].sum(), total=frame["v"].sum() * times)
+
+    parts = combine_by_key(df.coalesce(1), "key", part, combine, "key int, n long, v double",
+                           "key int, n long, total double", times=2)
+    merged = {}
+    for r in parts.collect():
+        n, s = merged.get(r["key"], (0, 0.0))
+        merged[r["key"]] = (n + r["n"], s + r["total"])
+    assert merged == {k: (n, 2 * s) for k, (n, s) in want.items()}
