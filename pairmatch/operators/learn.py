@@ -1,36 +1,16 @@
-"""Fitting and applying Spark ML models on feature tables."""
+"""Principal components and linear discriminants of feature tables."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.classification import MultilayerPerceptronClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairmatch.operators.sampling import SEED, stratified_folds
-from pairmatch.session import work_dir
-
-FOLD = "fold"
-
-
-def _with_checkpoints(df: DataFrame) -> None:
-    """Many rounds need checkpoints, or each one reads through all before it."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(work_dir(df.sparkSession, "rounds"))
-
-
-def assembler(columns: list[str], name: str = "features") -> VectorAssembler:
-    """Columns to one vector."""
-    return VectorAssembler(inputCols=columns, outputCol=name)
-
 
 @dataclass(frozen=True)
 class PcaFit:
@@ -123,7 +103,8 @@ def fit_discriminant(
     """Fit from class means and pooled covariance.
 
     One aggregate yields counts, means and co-moments per class, two rows of d*d numbers; the
-    d x d system is solved on the driver. Use it for some tens of columns.
+    d x d system is solved on the driver. Use it for some tens of columns. Rows without a label
+    are left out; a class without rows is refused.
     """
     d = len(columns)
     cast = {c: F.col(c).cast("double") for c in columns}
@@ -134,11 +115,14 @@ def fit_discriminant(
         if i <= j
     ]
     stats = (
-        df.groupBy(label)
+        df.where(F.col(label).isNotNull())
+        .groupBy(label)
         .agg(F.count("*").alias("n"), *[F.avg(cast[c]).alias(f"m_{c}") for c in columns], *moments)
         .collect()
     )
     rows = {int(r[label]): r for r in stats}
+    if missing := {0, 1} - set(rows):
+        raise ValueError(f"no rows of class {missing}: both are needed")
     n = {k: r["n"] for k, r in rows.items()}
     total = n[0] + n[1]
     mean = {k: np.array([r[f"m_{c}"] for c in columns]) for k, r in rows.items()}
@@ -157,40 +141,3 @@ def fit_discriminant(
         list(columns), weights.tolist(), scalings.tolist(), float(offset),
         float(overall @ scalings),
     )
-
-
-def perceptron_grid(n_features: int, label: str = "is_duplicate", rounds: int = 20, seed: int = SEED):
-    """Multi-layer perceptron and its grid over solver and step size."""
-    mlp = MultilayerPerceptronClassifier(
-        featuresCol="features", labelCol=label, maxIter=rounds, tol=1e-4, seed=seed,
-        layers=[n_features, 100, 250, 200, 50, 10, 2],
-    )
-    grid = (
-        ParamGridBuilder()
-        .addGrid(mlp.solver, ["l-bfgs", "gd"])
-        .addGrid(mlp.stepSize, [0.0025, 0.03])
-        .build()
-    )
-    return mlp, grid
-
-
-def grid_fit(
-    df: DataFrame, estimator: Estimator, grid: list, folds: int,
-    label: str = "is_duplicate", key: str = "id", parallelism: int = 2,
-) -> CrossValidatorModel:
-    """Best setting by mean log loss over class-balanced folds, refitted on all rows."""
-    _with_checkpoints(df)
-    evaluator = MulticlassClassificationEvaluator(labelCol=label, metricName="logLoss")
-    cv = CrossValidator(
-        estimator=estimator, estimatorParamMaps=grid, evaluator=evaluator, numFolds=folds,
-        foldCol=FOLD, parallelism=parallelism,
-    )
-    return cv.fit(stratified_folds(df, folds, label, key, name=FOLD))
-
-
-def grid_scores(model: CrossValidatorModel) -> list[tuple[str, float]]:
-    """Setting and mean log loss of each grid point."""
-    return [
-        (", ".join(f"{p.name}={v}" for p, v in params.items()), float(metric))
-        for params, metric in zip(model.getEstimatorParamMaps(), model.avgMetrics)
-    ]

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairmatch.operators.joins import lookup_join
+
 WEIGHT_COLUMNS = ["weight_q1_sw", "weight_q2_sw", "weight_q1_mw", "weight_q2_mw"]
 IMPUTED = ["word_order_similarity", *WEIGHT_COLUMNS]
 
@@ -96,13 +98,19 @@ def stack_classes(df: DataFrame, label: str = "is_duplicate") -> DataFrame:
 
 
 def wordlist_difference(words: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Words of the first list that are not in the second."""
-    return words.join(allowed, "word", "left_anti").distinct()
+    """Words of the first list that are not in the second; each list is made distinct first."""
+    return words.distinct().join(allowed.distinct(), "word", "left_anti")
 
 
 def filter_tokens(rows: DataFrame, words: DataFrame, keep: bool = False) -> DataFrame:
-    """Rows ``(.., word)`` whose word is not on a list, or with ``keep`` only those on it."""
-    return rows.join(words, "word", "left_semi" if keep else "left_anti")
+    """Rows ``(.., word)`` whose word is not on a list, or with ``keep`` only those on it.
+
+    The list is sent to the rows if it is short; beyond that, rows of frequent words are salted.
+    """
+    counts = rows.groupBy("word").agg(F.count("*").alias("n"))
+    spread = F.struct(*rows.columns)
+    how = "left_semi" if keep else "left_anti"
+    return lookup_join(rows, words.distinct(), ["word"], counts, spread, how)
 
 
 def joint_words(a: Column, b: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairmatch.session import written
+
 
 def exploded(df: DataFrame, array: Column | str, name: str, *keep: str) -> DataFrame:
     """One row per non-null array element, next to the ``keep`` columns.
@@ -37,7 +39,11 @@ def global_row_number(
     few values (a label); it is broadcast if it is small. Null keys come last, in a bucket of
     their own, dealt over the hash of the row and numbered in that order. A null in ``by`` is a
     value of its own. An empty table stays empty.
+
+    The table is read for its size, its quantiles, the counts and the numbers, so it is written
+    once first.
     """
+    df = written(df, "numbered")
     if buckets is None:
         buckets = min(MOST_BUCKETS, max(64, df.count() // BUCKET_ROWS))
     probabilities = [i / buckets for i in range(1, buckets)]

@@ -31,16 +31,19 @@ def zscore(spark, sf):
     return scored.select("id", *[f"{c}_zscore" for c in features.COUNT_COLUMNS])
 
 
-def _scaled(i: int, c: str, lo: float, hi: float) -> str:
-    low, high = f'min("{c}") OVER ()', f'max("{c}") OVER ()'
+def _scaled(i: int, c: str, lo: float, hi: float, fit: str = "true") -> str:
+    low, high = (f'{f}("{c}") FILTER ({fit}) OVER ()' for f in ("min", "max"))
     return (
         f'round_even({lo} + ("{c}" - {low}) * {hi - lo} / '
         f"CASE WHEN {high} > {low} THEN {high} - {low} ELSE 1 END::DOUBLE, 6) AS scaled_{i}"
     )
 
 
-def _scaled_list(lo, hi, columns=features.COUNT_COLUMNS):
-    return ", ".join(_scaled(i, c, lo, hi) for i, c in enumerate(columns))
+def _scaled_list(lo, hi, columns=features.COUNT_COLUMNS, fit="true"):
+    return ", ".join(_scaled(i, c, lo, hi, fit) for i, c in enumerate(columns))
+
+
+_TRAIN = "b.type = 'TR'"
 
 
 @query("minmax_scale", with_blocks(
@@ -86,24 +89,33 @@ def tfidf_features(spark, sf):
 
 @query("word_similarity_grid", with_blocks("SELECT id, k, v FROM grid", "grid"))
 def word_similarity_grid(spark, sf):
-    out = grid.similarity_grid(V.token_pairs(spark, sf), V.pair_vectors(spark, sf))
+    out = grid.similarity_grid(*V.tokens_and_vectors(spark, sf))
     cells = out.select("id", F.posexplode("grid").alias("k", "v"))
     return cells.select(
         "id", F.col("k").cast("long").alias("k"), F.bround(F.col("v").cast("double"), 5).alias("v")
     )
 
 
-def model_table(spark, sf):
-    """Grid, counts, overlap, scores, tf-idf sums and scaled columns of the text pairs."""
-    basic = written(V.basic_features(spark, sf), "basic")
+def plain_inputs(spark, sf, basic):
+    """Counts, overlap, scores, tf-idf sums and scaled columns of the text pairs."""
     weights = tfidf.tfidf_features(tfidf.documents(basic))
     df = joins.join_scores(
         basic.drop("q1nopunct", "q2nopunct", "qid1", "qid2"), V.pair_scores(spark, sf)
     )
     df = P.impute(joins.attach(df, weights), [*P.IMPUTED, "sem_similarity"])
-    scaled = features.minmax(written(df, "stage"), features.SCALED_FROM)
-    tokens = basic.select("id", *V.token_columns())
-    cells = grid.similarity_grid(tokens, V.vectors_for(spark, sf, tokens))
+    stage = written(df, "stage")
+    # the ranges are those of the training pairs; pairs to be scored may lie outside
+    fitted = features.fit_minmax(stage.where("type = 'TR'"), features.SCALED_FROM)
+    return features.apply_minmax(stage, fitted, features.SCALED_FROM)
+
+
+def model_table(spark, sf):
+    """Grid and all other inputs of the text pairs."""
+    basic = written(V.basic_features(spark, sf), "basic")
+    scaled = plain_inputs(spark, sf, basic)
+    tokens = written(basic.select("id", *V.token_columns()), "tokens")
+    vectors = written(V.vectors_for(spark, sf, tokens), "vectors")
+    cells = grid.similarity_grid(tokens, vectors)
     return joins.attach(scaled, cells)
 
 
@@ -112,8 +124,8 @@ def model_table(spark, sf):
            scaled_1, scaled_2, scaled_3, scaled_4, scaled_5
     FROM (SELECT b.id, wrdmatchpct, round_even(coalesce(s.sem_similarity, 0), 6) AS sem,
                  round_even(coalesce(s.word_order_similarity, 0), 6) AS word_order,
-                 {_scaled_list(0.0, 1.0, features.COUNT_COLUMNS)}, {_scaled(4, 'sw1', 0.0, 1.0)},
-                 {_scaled(5, 'sw2', 0.0, 1.0)}
+                 {_scaled_list(0.0, 1.0, fit=_TRAIN)}, {_scaled(4, 'sw1', 0.0, 1.0, _TRAIN)},
+                 {_scaled(5, 'sw2', 0.0, 1.0, _TRAIN)}
           FROM (SELECT basic.*, coalesce(weight_q1_sw, 0) AS sw1, coalesce(weight_q2_sw, 0) AS sw2
                 FROM basic LEFT JOIN tfidf USING (id)) b
           LEFT JOIN pair_scores s ON s.id = b.id AND s.type = b.type)

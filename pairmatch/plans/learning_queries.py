@@ -8,15 +8,19 @@ from pyspark.sql import functions as F
 from pairmatch.functions import text as T
 from pairmatch.operators import boosting as B
 from pairmatch.operators import evaluate as E
-from pairmatch.operators import features, grid, learn, pairs, sampling
+from pairmatch.operators import features, grid, learn, pairs, perceptron, sampling
 from pairmatch.operators.word_vectors import fit_word_vectors
 from pairmatch.plans import views as V
 from pairmatch.plans.blocks import with_blocks
-from pairmatch.plans.feature_queries import model_table
+from pairmatch.plans.feature_queries import model_table, plain_inputs
 from pairmatch.plans.registry import query
 from pairmatch.session import work_dir, written
 
 NUMERIC = [*features.COUNT_COLUMNS, "wrdmatchpct"]
+PLAIN_INPUTS = [
+    *features.COUNT_COLUMNS, *features.SCORE_COLUMNS, *pairs.WEIGHT_COLUMNS,
+    *(f"scaled_{k}" for k in range(len(features.SCALED_FROM))),
+]
 
 
 def _labels(spark, sf):
@@ -163,7 +167,7 @@ def train_word_vectors(spark, sf):
 
 
 def _grids(spark, sf):
-    cells = grid.similarity_grid(V.token_pairs(spark, sf), V.pair_vectors(spark, sf))
+    cells = grid.similarity_grid(*V.tokens_and_vectors(spark, sf))
     return written(cells.join(_labels(spark, sf), "id"), "grids")
 
 
@@ -214,12 +218,14 @@ def grid_search_trees(spark, sf):
 
 @query("grid_search_mlp")
 def grid_search_mlp(spark, sf):
-    scaled = features.minmax(_train_rows(spark, sf), NUMERIC, -1.0, 1.0)
-    names = [f"scaled_{i}" for i in range(len(NUMERIC))]
-    rows = learn.assembler(names).transform(scaled)
-    mlp, settings = learn.perceptron_grid(len(names))
-    fitted = learn.grid_fit(rows, mlp, settings, folds=3, parallelism=4)
-    return spark.createDataFrame(learn.grid_scores(fitted), "setting string, log_loss double")
+    """All inputs but the grid, 18 settings of the network over 3 folds."""
+    basic = written(V.basic_features(spark, sf), "basic")
+    rows = plain_inputs(spark, sf, basic).where("type = 'TR'")
+    settings = perceptron.grid(
+        perceptron.Settings(), solver=["sgd", "lbfgs", "adam"],
+        activation=["relu", "logistic", "tanh"], schedule=["invscaling", "adaptive"],
+    )
+    return perceptron.grid_scores(rows, PLAIN_INPUTS, settings, 3)
 
 
 @query("batch_score")

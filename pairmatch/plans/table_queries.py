@@ -192,10 +192,11 @@ def token_cross(spark, sf):
         (SELECT DISTINCT least(w1, w2) AS a, greatest(w1, w2) AS b FROM cells WHERE w1 IS NOT NULL)
         LEFT JOIN word_scores USING (a, b)""", "cells", "word_scores"))
 def vector_lookup(spark, sf):
-    cells = grid.grid_cells(V.token_pairs(spark, sf)).where("w1 is not null")
+    tokens, vectors = V.tokens_and_vectors(spark, sf)
+    cells = grid.grid_cells(tokens).where("w1 is not null")
     words = cells.select(F.least("w1", "w2").alias("a"), F.greatest("w1", "w2").alias("b"))
-    words = words.distinct()
-    scored = grid.score_word_pairs(words, V.pair_vectors(spark, sf))
+    words = written(words.distinct(), "word-pairs")
+    scored = grid.score_word_pairs(words, vectors)
     return words.join(scored, ["a", "b"], "left").fillna(0.0, ["sim"])
 
 
@@ -205,7 +206,7 @@ def vector_lookup(spark, sf):
     FROM (SELECT doc_id, unnest(tokens) AS w FROM doc_tokens)
     WHERE w NOT IN ({STOP_SQL}) OR w IN ({NUMBERS_SQL}) GROUP BY doc_id""", "doc_tokens"))
 def stopword_filter_join(spark, sf):
-    rows = exploded(V.doc_tokens(spark, sf), "tokens", "word", "doc_id")
+    rows = written(exploded(V.doc_tokens(spark, sf), "tokens", "word", "doc_id"), "doc-words")
 
     def words(values):
         return spark.createDataFrame([(w,) for w in values], "word string")

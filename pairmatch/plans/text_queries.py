@@ -184,7 +184,7 @@ def combine_by_key_query(spark, sf):
             "user_id": rows["user_id"].iloc[:1], "n": [n], "longest_gap": pd.array([gap], "Int64"),
         })
 
-    events = V.load(spark, sf, "events").select("user_id", F.col("ts").cast("long").alias("s"))
+    events = V.load(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").cast("long").alias("s"))
     return combine_by_key(
         events, "user_id", seconds, longest_gap, "user_id long, s long, n long",
         "user_id long, n long, longest_gap long",

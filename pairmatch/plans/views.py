@@ -128,9 +128,10 @@ def word_vectors(words: DataFrame, embeddings: DataFrame) -> DataFrame:
     )
 
 
-def pair_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word vectors for the words of the text pairs."""
-    return vectors_for(spark, sf_dir, token_pairs(spark, sf_dir))
+def tokens_and_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Token arrays of the text pairs and the vectors of their words, both stored."""
+    tokens = written(token_pairs(spark, sf_dir), "tokens")
+    return tokens, written(vectors_for(spark, sf_dir, tokens), "vectors")
 
 
 def vectors_for(spark: SparkSession, sf_dir: str, tokens: DataFrame) -> DataFrame:

@@ -56,3 +56,79 @@ def test_new_files_count_once(spark, tmp_path):
     assert sorted(r["id"] for r in after.collect()) == [1, 2, 3]
     low, high = after.agg(F.min("scaled_1"), F.max("scaled_1")).first()
     assert (low, high) == (0.0, 1.0)
+
+
+def store_rows(spark, ids, value=0.0):
+    rows = [(k, "TR" if k % 3 else "TS", float(k) + value) for k in ids]
+    return spark.createDataFrame(rows, "id long, type string, x double")
+
+
+def test_a_repeated_append_replaces_its_batch(spark, tmp_path):
+    path = str(tmp_path / "store")
+    S.append_features(store_rows(spark, range(10)), path, "a")
+    S.append_features(store_rows(spark, range(10, 20)), path, "b")
+    S.append_features(store_rows(spark, range(8), 100.0), path, "a")
+    # rows of an append that failed before its entry was made
+    store_rows(spark, range(50, 60)).write.partitionBy("type").parquet(f"{path}/data/entry=0-lost")
+    got = {r["id"]: r["x"] for r in S.read_features(spark, path).collect()}
+    assert got == {**{k: k + 100.0 for k in range(8)}, **{k: float(k) for k in range(10, 20)}}
+    assert S.read_features(spark, path, "TS").count() == 6
+
+
+def test_ranges_of_a_store_read_few_files(spark, tmp_path):
+    path = str(tmp_path / "store")
+    for k in range(4):
+        S.append_features(store_rows(spark, range(100 * k, 100 * k + 100)), path, str(k))
+    order = [
+        r for k in range(4) for r in sorted(
+            range(100 * k, 100 * k + 100), key=lambda i: ("TR" if i % 3 else "TS", i)
+        )
+    ]
+    for start, stop in ((0, 1), (37, 181), (99, 101), (350, 9999), (400, 500), (10, 10)):
+        rows = S.read_feature_range(spark, path, start, stop)
+        assert sorted(r["id"] for r in rows.collect()) == sorted(order[start:stop])
+        assert set(rows.columns) == {"id", "type", "x"}
+    files = len(S.read_features(spark, path).inputFiles())
+    assert len(S.read_feature_range(spark, path, 0, 5).inputFiles()) * 4 <= files
+
+
+def scanned_rows(df):
+    """Rows that the scan gave on, from the plan's metrics."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(k).metrics().apply("numOutputRows").value() for k in range(leaves.size()))
+
+
+def test_ids_of_a_store_skip_row_groups(spark, tmp_path):
+    path = str(tmp_path / "store")
+    spark.conf.set("parquet.block.size", "20000")
+    spark.conf.set("parquet.page.size", "2000")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        S.append_features(store_rows(spark, range(0, 40000, 2)), path)
+        store = S.read_features(spark, path)
+        assert scanned_rows(store.where("id between 5000 and 5200")) < 5000
+        missing = store.where("id = 10001")  # inside the range of a row group, but in no filter
+        assert missing.count() == 0
+        assert "PushedFilters: [IsNotNull(id), EqualTo(id,10001)]" in missing._jdf.queryExecution().toString()
+    finally:
+        for key in ("parquet.block.size", "parquet.page.size"):
+            spark.conf.unset(key)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_chunks_have_exactly_their_rows(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    df = spark.range(1003).repartition(5)
+    df.write.parquet(path)
+    spark.range(2000, 2010).coalesce(1).write.mode("append").parquet(path)
+    for size in (1, 100, 1013, 5000):
+        got = S.read_chunked(spark, path, size)
+        n = {r["chunk"]: r["count"] for r in got.groupBy("chunk").count().collect()}
+        assert sorted(n) == list(range(-(-1013 // size)))
+        assert all(n[k] == size for k in sorted(n)[:-1]) and sum(n.values()) == 1013
+        assert got.columns == ["id", "chunk"]
+    empty = str(tmp_path / "empty")
+    df.limit(0).write.parquet(empty)
+    assert S.read_chunked(spark, empty).count() == 0
