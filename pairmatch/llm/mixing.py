@@ -11,6 +11,8 @@ from pairmatch.session import written
 
 #: A document is repeated at most this often.
 EPOCHS = 3
+#: Sources up to which their table is broadcast.
+MOST_SOURCES = 100_000
 #: Pieces of the seeded order of a source (its 60 bits without the lower 48); only the piece
 #: with the border is sorted.
 PIECES = 4096
@@ -69,21 +71,23 @@ def mixed(
     seed: int = 17,
     epochs: int = EPOCHS,
     weight=cyclic_weight,
+    most: int = MOST_SOURCES,
 ) -> DataFrame:
     """How often the mix takes each row: ``(doc, size, source_size, target, reps)``.
 
     ``doc`` is a struct of the ``carry`` columns (all columns if none are named), so their names
     never clash. Sources are numbered by code point, null last, and weighed by ``weight`` of
     that number. The targets come from ``water_fill``. With e = target / size, every row of a
-    source is taken floor(e) times, and a seeded sample of rows once more: the first rows in the
-    order of a digest of seed and id whose words make up the rest, the row at the border if that
-    comes closer. So a source misses its target by half a row at most, and reruns agree.
+    source is taken floor(e) times, and a seeded sample of rows with words once more: the first
+    rows in the order of a digest of seed and id whose words make up the rest, the row at the
+    border if that comes closer. So a source misses its target by half a row at most, no row is
+    taken more than ``epochs`` times, and reruns agree.
 
     That order is cut into pieces: sums per piece tell which lie before the border, and only the
-    rows of the border piece are sorted. The table of sources is broadcast if it is small and
+    rows of the border piece are sorted. The table of sources is broadcast up to ``most`` rows and
     joined with salts otherwise, so a source with a large part of all rows is no single task.
 
-    Null text: no words. Null id: the digest is that of the text. Rows that agree in digest and
+    Null text: no words; such a row is taken floor(e) times. Null id: the digest is that of the text. Rows that agree in digest and
     size are interchangeable. An empty table gives an empty result; a mix of no words takes
     nothing.
     """
@@ -128,11 +132,12 @@ def mixed(
         F.coalesce("at.piece", F.lit(PIECES)).alias("at"),
         (F.col("quota") - F.col("at.before")).alias("rest"),
     )
-    joined = lookup_join(sized, plan, ["key"], sources, F.col("place"))
+    joined = lookup_join(sized, plan, ["key"], sources, F.col("place"), most=most)
     # the border piece of a source holds about 1 / 4096 of its rows
     at_border = F.col("piece") == F.col("at")
     so_far = F.coalesce(F.sum("size").over(before(["key"], "place", "size")), F.lit(0))
     extra = (so_far + F.col("size") / 2 <= F.col("rest")).cast("long")
+    words = (F.col("size") > 0).cast("long")
     result = ["doc", "size", "source_size", "target"]
     return (
         joined.where(at_border)
@@ -142,5 +147,5 @@ def mixed(
                 "extra", (F.col("piece") < F.col("at")).cast("long")
             )
         )
-        .select(*result, (F.col("whole") + F.col("extra")).alias("reps"))
+        .select(*result, (F.col("whole") + F.col("extra") * words).alias("reps"))
     )

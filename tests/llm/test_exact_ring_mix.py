@@ -139,12 +139,17 @@ def test_mix_takes_whole_rows_near_the_targets(spark):
         return (str(r["doc"]), r["reps"])
     assert sorted(map(key, got)) == sorted(map(key, again))
     # many sources: the table is joined with salts, with the same result
-    import pairmatch.operators.joins as joins
-
     plan = {(str(r["doc"]), r["reps"]) for r in got}
-    old = joins.lookup_join.__defaults__
-    joins.lookup_join.__defaults__ = (old[0], 2)
-    try:
-        assert {(str(r["doc"]), r["reps"]) for r in mixed(docs).collect()} == plan
-    finally:
-        joins.lookup_join.__defaults__ = old
+    assert {(str(r["doc"]), r["reps"]) for r in mixed(docs, most=2).collect()} == plan
+
+
+def test_rows_without_words_are_not_taken_beyond_the_epochs(spark):
+    rows = [(k, "w", "a") for k in range(3)] + [(10 + k, " ", "a") for k in range(12)]
+    rows += [(100 + k, "w " * 40, "b") for k in range(5)] + [(200, "w " * 30000, "b")]
+    got = {r["doc"]["doc_id"]: (r["reps"], r["target"]) for r in mixed(frame(spark, rows)).collect()}
+    # source a is clamped at three times its three words
+    assert all(got[k] == (3, 9.0) for k in [*range(3), *range(10, 22)])
+    assert sum(got[k][0] for k in got if k >= 100) > 0
+    # no words at all: nothing is taken
+    none = mixed(frame(spark, [(1, "", "a"), (2, None, None)])).collect()
+    assert [r["reps"] for r in none] == [0, 0]
