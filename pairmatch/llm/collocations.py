@@ -16,7 +16,7 @@ from pairmatch.operators.joins import hot_keys, shuffle_partitions
 from pairmatch.session import written
 
 #: Tokens whose sequences a task sums up before they are shuffled.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: Most bits (as a power of two) of the filter that keeps hopeless sequences out of the shuffle.
 FILTER_BITS = 28
 #: The share of the longest runs: how many tasks sort the phrases of one language.
