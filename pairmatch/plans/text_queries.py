@@ -166,7 +166,7 @@ def apply_by_key_query(spark, sf):
 
 @query("combine_by_key", """
     SELECT user_id, count(*) AS n, max(gap) AS longest_gap FROM (
-        SELECT user_id, epoch(ts)::BIGINT - lag(epoch(ts)::BIGINT) OVER (PARTITION BY user_id ORDER BY ts) AS gap
+        SELECT user_id, floor(epoch(ts))::BIGINT - lag(floor(epoch(ts))::BIGINT) OVER (PARTITION BY user_id ORDER BY ts) AS gap
         FROM events) GROUP BY user_id""")
 def combine_by_key_query(spark, sf):
     """The longest time between two events of a user, from the distinct times of each part."""

@@ -1,6 +1,4 @@
-from pyspark.sql import functions as F
-
-from pairmatch.operators import features
+from pairmatch.operators.flow import FeatureFlow
 from pairmatch.sources import tables as S
 from pairmatch.streaming import incremental as I
 
@@ -38,24 +36,60 @@ def test_predictions_are_sorted(spark, tmp_path):
     assert lines == ["1,0.25", "2,0.75", "3,0.5"]
 
 
+def flow_pairs(spark):
+    rows = [
+        (1, 1, 2, "how do i say hi twice", " two\nlines here ", 1, "TR"),
+        (2, 3, 4, "", "back slash words", 0, "TR"),
+        (3, 5, 6, "10k steps and words", None, 0, "TR"),
+        (4, 7, 8, "say two words twice today", "steps here", 1, "TR"),
+        (5, 9, 10, "new words " * 50, "never seen terms", None, "TS"),
+    ]
+    schema = S.T.StructType([*S.PAIR_SCHEMA.fields, S.T.StructField("type", S.T.StringType())])
+    vectors = [(w, [float(len(w)), float(k), 1.0]) for k, w in enumerate(["say", "words", "two", "steps", "hi"])]
+    return spark.createDataFrame(rows, schema), spark.createDataFrame(vectors, S.VECTOR_SCHEMA)
+
+
+def by_id(df):
+    return sorted(map(repr, df.select(sorted(df.columns)).collect()))
+
+
+def test_a_flow_takes_nothing_from_pairs_to_be_scored(spark, tmp_path):
+    pairs, vectors = flow_pairs(spark)
+    flow = FeatureFlow.fit(pairs, vectors)
+    alone = FeatureFlow.fit(pairs.where("type = 'TR'"), vectors)
+    want = by_id(alone.transform(pairs))
+    assert by_id(flow.transform(pairs)) == want
+    flow.save(str(tmp_path / "flow"))
+    again = FeatureFlow.load(spark, str(tmp_path / "flow"))
+    assert by_id(again.transform(pairs)) == want
+    rows = {r["id"]: r for r in flow.transform(pairs).collect()}
+    assert max(rows[k]["scaled_0"] for k in (1, 2, 3, 4)) == 1.0 < rows[5]["scaled_0"]
+    assert rows[5]["weight_q2_sw"] == 0.0  # no term of the training pairs
+    assert {len(r["grid"]) for r in rows.values()} == {784}
+    # any part of the pairs gets the same values
+    parts = flow.transform(pairs.where("id % 2 = 0")).unionByName(flow.transform(pairs.where("id % 2 = 1")))
+    assert by_id(parts) == want
+
+
 def test_new_files_count_once(spark, tmp_path):
     source, sink, state = (str(tmp_path / n) for n in ("in", "out", "state"))
-    columns = ["tr_q1WrdCnt", "tr_q1Len"]
-    raw = spark.createDataFrame(PAIRS, S.PAIR_SCHEMA)
-    fitted = features.fit_minmax(features.basic_features(raw.fillna("")), columns)
-    fitted.write.parquet(str(tmp_path / "fit"))
-    fitted = spark.read.parquet(str(tmp_path / "fit"))
+    pairs, vectors = flow_pairs(spark)
+    flow, raw = FeatureFlow.fit(pairs, vectors), pairs.drop("type")
 
     def run():
-        return I.incremental_features(spark, source, raw.schema, sink, state, fitted, columns)
+        return I.incremental_features(spark, source, raw.schema, sink, state, flow)
 
     raw.where("id < 3").write.parquet(source)
     assert sorted(r["id"] for r in run().collect()) == [1, 2]
-    raw.where("id = 3").write.mode("append").parquet(source)
+    raw.where("id >= 3").write.mode("append").parquet(source)
     after = run()
-    assert sorted(r["id"] for r in after.collect()) == [1, 2, 3]
-    low, high = after.agg(F.min("scaled_1"), F.max("scaled_1")).first()
-    assert (low, high) == (0.0, 1.0)
+    assert by_id(after) == by_id(flow.transform(pairs).drop("grid"))
+    assert sorted(r["id"] for r in run().collect()) == [1, 2, 3, 4, 5]  # nothing new
+    # a batch without its marker counts in no table
+    for table in ("features", "grids"):
+        rows = spark.read.parquet(f"{sink}/{table}").drop("batch")
+        rows.write.parquet(f"{sink}/{table}/batch=other-0")
+        assert I.read_sink(spark, sink, table).count() == 5
 
 
 def store_rows(spark, ids, value=0.0):
