@@ -220,7 +220,7 @@ def test_scores_are_exact_beyond_64_bits():
     score = 10**6 * a * a // (left[0] * right[0])
     assert phrases.weakest_cut(a, left, right) == (score, left[0], right[0])
     # equal after flooring: the shorter first part
-    assert phrases.weakest_cut(2, [10, 20], [20, 10]) == (40000, 10, 10)
+    assert phrases.weakest_cut(2, [10, 20], [10, 20]) == (20000, 10, 20)
 
 
 def test_a_word_with_many_phrases_is_dealt_over_tasks(spark):
