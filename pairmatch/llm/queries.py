@@ -19,6 +19,7 @@ from pairmatch.llm.token_counts import prefix_counts
 from pairmatch.llm.toxicity import classify, fit_chain
 from pairmatch.llm.url_filter import Rule, judge_urls
 from pairmatch.llm.warc_archive import read_archive, write_archive
+from pairmatch.session import written
 
 QUERIES = {}
 ORACLES = {}
@@ -201,12 +202,14 @@ def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_token_counts")
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of all documents."""
+    """Token counts of all documents, read from the stored table of their prefixes."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    counted = prefix_counts(load(spark, sf_dir, "documents"), model, prefixes=False)
-    return counted.select(
-        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit")
-    )
+    prefixes = written(prefix_counts(load(spark, sf_dir, "documents"), model), "prefixes")
+    whole = F.coalesce(F.try_element_at("counts", F.lit(-1)), F.lit(0)).cast("long")
+    return prefixes.select(
+        "doc_id", "n_bytes", whole.alias("n_tokens"),
+        F.exists("counts", lambda n: n > 4096).alias("over_limit"),
+    )
 
 
 def is_contaminated():
