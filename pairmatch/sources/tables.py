@@ -72,6 +72,8 @@ def append_features(df: DataFrame, path: str, batch: str | None = None) -> None:
     spark = df.sparkSession
     at = time.time_ns()
     folder = f"data/entry={at:020d}-{uuid.uuid4().hex}"
+    # dealing by ranges reads the rows twice, so they are computed once first
+    df = written(df, "appended")
     in_order = df.repartitionByRange(F.col("type"), F.col("id")).sortWithinPartitions("type", "id")
     in_order.write.partitionBy("type").options(
         **{"compression": "zstd", "parquet.bloom.filter.enabled#id": "true"}
