@@ -28,7 +28,7 @@ STARTS = (4, 5, 6)
 #: A model uses the features whose shares in the two classes differ by so many standard errors,
 #: the most different ones if there are too many. The words of a category may be rare each, so
 #: the gate is low, and the penalty holds down what passes it by chance.
-ERRORS, SELECTED = 2.0, 4096
+ERRORS, SELECTED = 2.5, 4096
 STEPS = 120
 PENALTY = 1e-4
 THRESHOLDS = [k / 100 for k in range(5, 96, 5)]
