@@ -27,7 +27,11 @@ BANDS, ROWS = 40, 5
 BINS = BANDS * ROWS
 #: Centres per bucket in each round; the last number holds for all later rounds. Spark thins out
 #: rows before they meet for limits up to 1000 only.
-CENTRES = (1, 128, 512)
+CENTRES = (1, 512)
+#: Hashes of the centres of a bucket and round in all; the first centre counts whatever its size.
+BLOCK_HASHES = 1 << 21
+#: Members of a bucket that meet its centres in one task.
+BLOCK_MEMBERS = 4096
 #: Words hashed at once.
 CHUNK_WORDS = 1 << 18
 #: Word hashes that a worker remembers.
@@ -270,20 +274,121 @@ def may_link(shared, sizes, percent: int = PERCENT):
 def star_edges(
     members: DataFrame, centres: DataFrame, sizes: DataFrame, percent: int = PERCENT
 ) -> DataFrame:
-    """Distinct edges ``(a, b)`` from a bucket's members to its centres of other components.
+    """Distinct edges ``(a, b)`` from a bucket's members to its centre.
 
-    ``sizes`` has the number ``n`` of members per bucket. Of an edge between two centres one
-    direction is enough, and earlier centres have been compared with everyone.
+    ``sizes`` has the number ``n`` of members per bucket.
     """
     joined = lookup_join(
         members, centres, ["key"], sizes, F.col("node"), most=MOST_BROADCAST
     )
-    apart = (F.col("comp") != F.col("comp2")) & ~F.col("central")
-    apart &= may_link(F.least("shared", "shared2"), F.col("n") + F.col("n2"), percent)
-    if "bands" in members.columns:  # of the buckets that two members share, one speaks
-        apart &= F.col("key") == F.array_min(F.array_intersect("bands", "bands2"))
-    one_way = ~F.col("chosen") | (F.col("node") < F.col("b"))
-    return joined.where(apart & one_way).select(F.col("node").alias("a"), "b").distinct()
+    apart = (F.col("node") != F.col("b")) & may_link(
+        F.least("n", "n2"), F.col("n") + F.col("n2"), percent
+    )
+    return joined.where(apart).select(F.col("node").alias("a"), "b").distinct()
+
+
+class Block:
+    """The centres of a bucket, which its members are compared with one after the other."""
+
+    def __init__(self):
+        self.nodes, self.comps, self.sets = [], [], []
+        self.parent: dict[int, int] = {}
+        self.hashes = None
+
+    def add(self, node: int, comp: int, hashes: np.ndarray) -> None:
+        self.nodes.append(node)
+        self.comps.append(comp)
+        self.sets.append(hashes)
+
+    def root(self, comp: int) -> int:
+        while (up := self.parent.get(comp, comp)) != comp:
+            self.parent[comp] = self.parent.get(up, up)
+            comp = up
+        return comp
+
+    def links(self, node: int, comp: int, hashes: np.ndarray, percent: int) -> list[int]:
+        """Centres that the member is similar enough to, as far as they join components anew."""
+        if self.hashes is None:
+            self.sizes = np.array([len(s) for s in self.sets], np.int64)
+            self.hashes = np.concatenate(self.sets) if self.sets else np.zeros(0, np.int64)
+            order = np.argsort(self.hashes, kind="stable")
+            self.owner = np.repeat(np.arange(len(self.sets)), self.sizes)[order]
+            self.hashes = self.hashes[order]
+            self.sets = None
+        low = np.searchsorted(self.hashes, hashes, side="left")
+        n = np.searchsorted(self.hashes, hashes, side="right") - low
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.arange(total) - np.repeat(ends - n, n) + np.repeat(low, n)
+        common = np.bincount(self.owner[at], minlength=len(self.sizes))
+        union = len(hashes) + self.sizes - common
+        out = []
+        for k in np.flatnonzero(common * 100 >= union * percent).tolist():
+            one, other = self.root(comp), self.root(self.comps[k])
+            if one != other:
+                self.parent[one] = other
+                out.append(self.nodes[k])
+        return out
+
+
+def block_links(
+    members: DataFrame, centres: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int
+) -> DataFrame:
+    """Links ``(a, b)`` from the members of buckets to their centres, without a row per pair.
+
+    ``members`` has ``(key, node, comp)``, ``centres`` those of them that are centres, ``sizes``
+    the number ``n`` of members per bucket. A bucket's members are dealt into parts of some
+    ``BLOCK_MEMBERS``; each part gets its centres once, so there are rows for members and, of a
+    part, centres. A part is sorted with its centres first, and its members stream past them.
+    All pairs of a member and a centre are compared on full sets; of those similar enough the
+    ones that join two components are returned, fewer than there are members and centres.
+    """
+    parts = sizes.select(
+        "key", F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("parts"), "n"
+    )
+    small = parts.select("key", "parts")
+    dealt = lookup_join(
+        members.select("key", "node", "comp"), small, ["key"], sizes, F.col("node"), most=MOST_BROADCAST
+    ).select(
+        "key", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"),
+        F.lit(1).alias("kind"), "node", "comp",
+    )
+    repeated = lookup_join(
+        centres.select("key", "node", "comp"), small, ["key"], sizes, F.col("node"), most=MOST_BROADCAST
+    ).select(
+        "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+        F.lit(0).alias("kind"), "node", "comp",
+    )
+    rows = written(dealt.unionByName(repeated), "block-rows")
+    known = rows.groupBy("node").agg(F.count("*").alias("n"))
+    with_sets = salted_join(
+        rows, sets, ["node"], hot_keys(known, ["node"]), F.struct("key", "part")
+    ).select("key", "part", "kind", "node", "comp", "shingles")
+    sorted_rows = with_sets.repartition("key", "part").sortWithinPartitions("key", "part", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, block = None, Block()
+        for batch in batches:
+            key, part, kind, node, comp = (batch.column(k).to_pylist() for k in range(5))
+            lists = batch.column(5)
+            offsets = lists.offsets.to_numpy().tolist()
+            values = lists.values.to_numpy()
+            a, b = [], []
+            for k in range(len(key)):
+                if (key[k], part[k]) != current:
+                    current, block = (key[k], part[k]), Block()
+                hashes = values[offsets[k] : offsets[k + 1]]
+                if kind[k] == 0:
+                    block.add(node[k], comp[k], hashes.copy())
+                else:
+                    found = block.links(node[k], comp[k], hashes, percent)
+                    a.extend([node[k]] * len(found))
+                    b.extend(found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]
+            )
+
+    return sorted_rows.mapInArrow(run, "a long, b long")
 
 
 def with_components(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -323,14 +428,14 @@ def in_buckets(placed: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def still_possible(
-    placed: DataFrame, sets: DataFrame, classes: DataFrame, percent: int = PERCENT
+    placed: DataFrame, sets: DataFrame, percent: int = PERCENT
 ) -> DataFrame:
-    """Members of open buckets that may have a partner at all, with all their ``bands``.
+    """Members of open buckets that may have a partner at all.
 
     Hashes that only one of the sets at hand has are in no intersection. What is left of a
     set, ``shared``, bounds its intersections, and a member is dropped where even the smallest
     set of its bucket is too large for that. In a group of copies with many edits each, this
-    leaves few of the pairs that are a little too different.
+    leaves few members.
     """
     nodes = written(placed.select("node").distinct(), "open-nodes")
     own = lookup_join(
@@ -350,7 +455,7 @@ def still_possible(
     kept = joined.withColumn("shared", shared).where(
         may_link(F.col("shared"), F.col("n") + F.col("least"), percent)
     )
-    return written(kept.drop("alone").join(classes.select("node", "bands"), "node"), "possible")
+    return written(kept.drop("alone", "shared"), "possible")
 
 
 def near_duplicates(
@@ -367,10 +472,11 @@ def near_duplicates(
     to one centre, so the number of pairs is linear in the number of members. Edges are
     confirmed on full sets, confirmed ones make components. A star alone would lose links
     between members, so further rounds follow: buckets that still hold several components get
-    more centres, those of small components first, which members of *other* components are
-    compared with, until the members left are of one component. So every pair that shares a
-    bucket is in one component, has been compared, or cannot be similar enough for want of
-    hashes that another set has.
+    more centres, those of small components first, which all members are compared with inside
+    tasks (``block_links``), until the members left are of one component. So every pair that
+    shares a bucket is in one component, has been compared, or cannot be similar enough for want
+    of hashes that another set has. No round makes a row per pair; the number of comparisons
+    inside tasks is quadratic only in members of a bucket that stay in different components.
 
     Returns a row per row: ``(doc_id, n_shingles, component_id, kept, h1, h2)``, the last two
     naming the set. Hot classes, buckets and centres are salted.
@@ -399,9 +505,9 @@ def near_duplicates(
     wanted = classes.join(nodes, "node", "left_semi").select("node", "rep", "h1", "h2")
     sets = full_sets(source, written(wanted, "wanted"))
 
-    edges = links = None
+    links = None
     labels = classes.select("node", F.col("node").alias("comp")).where("false")
-    members = members.withColumns({"central": F.lit(False), "shared": F.col("n")})
+    members = members.withColumn("central", F.lit(False))
     for number, per_bucket in enumerate(chain(CENTRES, repeat(CENTRES[-1]))):
         placed = with_components(members, labels)
         sizes = open_buckets(placed)
@@ -409,17 +515,21 @@ def near_duplicates(
             break
         placed = in_buckets(placed, sizes)
         if number == 1:
-            placed = still_possible(placed, sets, classes, percent).drop("least")
+            placed = still_possible(placed, sets, percent)
             sizes = open_buckets(placed)
-            placed = in_buckets(placed, sizes)
+            if sizes.isEmpty():
+                break
+            placed = in_buckets(placed.drop("least"), sizes)
         # members of the largest component need not become centres: the others meet them
-        whole = ["bands"] if "bands" in placed.columns else []
         order = Window.partitionBy("key").orderBy("comp_size", F.desc("score"), "node")
+        before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         chosen = written(
             placed.where(~F.col("central"))
             .withColumn("rank", F.row_number().over(order))
             .where(F.col("rank") <= per_bucket)
-            .select("key", "node", "n", "comp", "shared", *whole),
+            .withColumn("hashes", F.sum("n").over(before))
+            .where((F.col("hashes") <= BLOCK_HASHES) | (F.col("rank") == 1))
+            .select("key", "node", "n", "comp"),
             "centres",
         )
         mark = chosen.select("key", "node", F.lit(True).alias("chosen"))
@@ -427,22 +537,19 @@ def near_duplicates(
             placed, mark, ["key", "node"], one_each(mark), F.col("node"), "left", MOST_BROADCAST
         )
         marked = written(marked.fillna(False, ["chosen"]), "members")
-        centres = chosen.select(
-            "key", F.col("node").alias("b"), F.col("n").alias("n2"),
-            F.col("comp").alias("comp2"), F.col("shared").alias("shared2"),
-            *(F.col(c).alias(f"{c}2") for c in whole),
-        )
-        new = star_edges(marked, centres, sizes, percent)
-        if edges is not None:
-            new = new.join(edges, ["a", "b"], "left_anti")
-        new = written(new, "edges")
-        found = written(linked(new, sets, percent), "links")
-        edges = new if edges is None else edges.unionByName(new)
+        if number == 0:
+            centres = chosen.select("key", F.col("node").alias("b"), F.col("n").alias("n2"))
+            found = linked(written(star_edges(marked, centres, sizes, percent), "edges"), sets, percent)
+        else:
+            # earlier centres have been compared with all members
+            waiting = marked.where(~F.col("central"))
+            found = block_links(waiting, chosen, sizes, sets, percent)
+        found = written(found, "links")
         links = found if links is None else links.unionByName(found)
         if not found.isEmpty():
             labels = connected_components(links)
         members = marked.withColumn("central", F.col("central") | F.col("chosen")).select(
-            "key", "node", "n", "score", "central", "shared", *whole
+            "key", "node", "n", "score", "central"
         )
     reps = labels.join(classes.select("node", "rep"), "node")
     first = written(reps.groupBy("comp").agg(F.min("rep").alias("first")), "first")

@@ -133,6 +133,26 @@ def test_many_rounds_of_centres(spark, monkeypatch):
     assert found(docs) == components(rows)
 
 
+def test_parts_of_a_bucket_and_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK_MEMBERS", 7)
+    monkeypatch.setattr(M, "BLOCK_HASHES", 1500)  # some nine centres a round
+    rows = near_base(30, 160, 6) + [(k + 100, t) for k, t in near_base(20, 160, 3, seed=2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(docs) == components(rows)
+
+
+def test_a_block_returns_no_more_links_than_components_join():
+    block, rng = M.Block(), np.random.default_rng(2)
+    base = np.unique(rng.integers(0, 1 << 40, 400))
+    near = [np.sort(np.append(base[:-8], rng.integers(1 << 41, 1 << 42, 8))) for _ in range(6)]
+    for k in range(3):
+        block.add(k, k, near[k])
+    block.add(9, 9, np.unique(rng.integers(1 << 43, 1 << 44, 50)))
+    got = [(k, b) for k in range(3, 6) for b in block.links(k, k, near[k], 80)]
+    assert len(got) == 5 and {x for pair in got for x in pair} == {0, 1, 2, 3, 4, 5}
+    assert block.links(20, 20, np.zeros(0, np.int64), 80) == []
+
+
 def test_joins_beyond_the_broadcast_bound(spark, monkeypatch):
     monkeypatch.setattr(M, "MOST_BROADCAST", 1)
     monkeypatch.setattr(C, "MOST_BROADCAST", 1)
