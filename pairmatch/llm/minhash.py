@@ -35,7 +35,7 @@ BLOCK_MEMBERS = 4096
 #: Words hashed at once.
 CHUNK_WORDS = 1 << 18
 #: Word hashes that a worker remembers.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 #: Rows of a list of edges or ids, and hashes of a list of sets, up to which it is broadcast.
 MOST_BROADCAST = 1_000_000
 MOST_HASHES = 500_000
