@@ -134,3 +134,13 @@ def test_normalize_rules_equal_python(spark):
         for pattern, new in T.NORMALIZE_RULES:
             expected = re.sub(pattern, new, expected)
         assert one(spark, text, T.normalize_text) == expected
+
+
+def test_listed_characters_are_those_the_rule_excludes(spark):
+    points = [k for k in range(0x110000) if not 0xD800 <= k < 0xE000]
+    text = "".join(map(chr, points))
+    pattern, new = T.NORMALIZE_RULES[0]
+    df = spark.createDataFrame([(text,)], ["t"])
+    listed = df.select(F.regexp_replace("t", T.LISTED[pattern], new)).first()[0]
+    assert listed == re.sub(pattern, new, text)
+    assert pattern not in df.select(T.normalize_text(F.col("t")))._jdf.queryExecution().toString()
