@@ -401,3 +401,44 @@ def test_functions_of_groups_see_them_in_parts(spark):
         n, s = merged.get(r["key"], (0, 0.0))
         merged[r["key"]] = (n + r["n"], s + r["total"])
     assert merged == {k: (n, 2 * s) for k, (n, s) in want.items()}
+
+
+def test_stem_of_a_word_equals_the_vocabulary(spark):
+    import random
+
+    from pairmatch.functions import words
+    from pairmatch.functions.stem import SPECIAL, stem_vocabulary, stem_word
+
+    rng = random.Random(7)
+    ends = "ing ed eed eedly ingly ies ied sses s ss us y Y e l ll li logi ogi ization ational tional ative " \
+        "fulness ement ment ion tion sion ous ive ize able 's 's' ' bb tt at iz".split()
+    starts = ["", "'", "''", "y", "gener", "commun", "arsen", "sky", "É", "-", "9"]
+    made = {"".join(rng.choice("aeiouybdlmnrstxw'Yé") for _ in range(rng.randint(0, 6))) for _ in range(1500)}
+    made = {rng.choice(starts) + w + rng.choice(["", *ends]) + rng.choice(["", "", *ends]) for w in made for _ in range(4)}
+    made |= {*SPECIAL, *words.STOP_WORDS, "eatss\u0085", "tried\u2028", "ba\u0085s", "controll", "hopping"}
+    rows = stem_vocabulary(spark.createDataFrame([(w,) for w in made], "word string")).collect()
+    assert {r["word"]: stem_word(r["word"]) for r in rows} == {r["word"]: r["stem"] for r in rows}
+
+
+def test_terms_are_counted_without_a_row_per_token(spark, monkeypatch):
+    from collections import Counter
+
+    monkeypatch.setattr(tfidf, "PIECE_WORDS", 4)
+    rows = [
+        (1, 1, ["x1", "the", "y2", "x1", None, "x1"]), (1, 2, []), (2, 1, None),
+        (2, 2, ["x1 y2", "x1", "y2"]), (3, 1, ["q7", "r8"]), (3, 1, ["r9", None, "s3"]), (None, 1, ["x1"]),
+    ]
+    docs = spark.createDataFrame(rows, "id long, side int, tokens array<string>")
+    got = {(r["id"], r["side"], r["term"]): r["tf"] for r in tfidf.term_counts(docs, max_n=3).collect()}
+    texts = {
+        (1, 1): ["x1", "y2", "x1", "x1"], (2, 2): ["x1 y2", "x1", "y2"], (3, 1): ["q7", "r9", "r8", "s3"],
+        (None, 1): ["x1"],
+    }
+    want = Counter(
+        (*doc, " ".join(words[i : i + n]))
+        for doc, words in texts.items() for n in (1, 2, 3) for i in range(len(words) - n + 1)
+    )
+    assert got == want
+    # the tokens of a document stay in one row up to its terms
+    plan = tfidf.stem_tokens(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
