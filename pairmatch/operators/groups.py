@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from pairmatch.operators.joins import hot_keys, shuffle_partitions
+from pairmatch.operators.sampling import SEED
 from pairmatch.session import written
 
 
@@ -63,20 +68,33 @@ def combine_by_key(
 ) -> DataFrame:
     """A function of whole groups from parts of them, for keys that hold many rows.
 
-    ``part(frame, **kwargs)`` gets the rows of one key in one batch where they are read and
-    returns a few rows with the key; these alone are shuffled, and ``combine`` works on them as
-    in ``apply_by_key``. So a key with a third of all rows sends a row or two for each batch.
+    ``part(frame, **kwargs)`` gets rows of one key in one batch and returns a few rows with the
+    key; ``combine`` works on these as in ``apply_by_key``. Rows are brought together by key
+    first, so ``part`` runs about once for a key with few rows, however many keys there are; keys
+    with many rows are dealt over partitions by their share, and send a row or two for each batch.
     """
     keys = [key] if isinstance(key, str) else list(key)
     result = arrow_schema(df, part_schema)
+    hot = hot_keys(written(df.groupBy(*keys).agg(F.count("*").alias("n")), "key-counts"), keys)
+    hot = hot.select(*[F.col(k).alias(f"_hot_{i}") for i, k in enumerate(keys)], "_salts")
+    same = [F.col(k).eqNullSafe(F.col(f"_hot_{i}")) for i, k in enumerate(keys)]
+    salt = F.floor(F.rand(SEED) * F.coalesce("_salts", F.lit(1))).cast("int").alias("_salt")
+    dealt = (
+        df.join(F.broadcast(hot), reduce(and_, same), "left")
+        .select(*df.columns, salt)
+        .repartition(shuffle_partitions(df), *keys, "_salt")
+        .sortWithinPartitions(*keys)
+        .drop("_salt")
+    )
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             groups = batch.to_pandas().groupby(keys, dropna=False, sort=False)
-            for frame in (part(group, **kwargs) for _, group in groups):
-                yield from pa.Table.from_pandas(frame, result, preserve_index=False).to_batches()
+            frames = [part(group, **kwargs) for _, group in groups]
+            tables = [pa.Table.from_pandas(x, result, preserve_index=False) for x in frames]
+            yield from pa.concat_tables(tables).combine_chunks().to_batches() if tables else ()
 
-    summed = written(df.mapInArrow(parts, part_schema), "parts")
+    summed = written(dealt.mapInArrow(parts, part_schema), "parts")
     return apply_by_key(summed, keys, combine, schema, **kwargs)
 
 

@@ -442,3 +442,24 @@ def test_terms_are_counted_without_a_row_per_token(spark, monkeypatch):
     # the tokens of a document stay in one row up to its terms
     plan = tfidf.stem_tokens(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan
+
+
+def test_parts_are_about_one_per_key_however_rows_lie(spark):
+    import pandas as pd
+
+    from pairmatch.operators.groups import combine_by_key
+
+    def part(frame):
+        return pd.DataFrame({"k": frame["k"].iloc[:1], "n": [len(frame)], "parts": [1]})
+
+    def combine(frames):
+        rows = pd.concat(list(frames))
+        yield pd.DataFrame({"k": rows["k"].iloc[:1], "n": [rows["n"].sum()], "parts": [len(rows)]})
+
+    key = F.when(F.col("id") % 100 != 0, F.col("id") % 100)
+    rows = spark.range(0, 800, 1, 8).select(key.alias("k"))
+    rows = rows.unionByName(spark.range(0, 6000, 1, 2).select(F.lit(1000).alias("k")))
+    schema = "k long, n long, parts long"
+    got = {r["k"]: (r["n"], r["parts"]) for r in combine_by_key(rows, "k", part, combine, schema, schema).collect()}
+    assert got.pop(1000)[0] == 6000
+    assert got == {k or None: (8, 1) for k in range(100)}
