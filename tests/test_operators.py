@@ -463,3 +463,17 @@ def test_parts_are_about_one_per_key_however_rows_lie(spark):
     got = {r["k"]: (r["n"], r["parts"]) for r in combine_by_key(rows, "k", part, combine, schema, schema).collect()}
     assert got.pop(1000)[0] == 6000
     assert got == {k or None: (8, 1) for k in range(100)}
+
+
+@pytest.mark.parametrize("most", [0, 1, 3, 100])
+def test_word_pairs_are_scored_whether_words_are_common_or_not(spark, monkeypatch, most):
+    monkeypatch.setattr(grid, "MOST_COMMON", most, raising=False)
+    found = {"p": [1.0, 0.0], "q": [1.0, 1.0], "r": [0.0, 2.0], "z": [0.0, 0.0]}
+    pairs = [("p", "p"), ("p", "q"), ("p", "r"), ("p", "u"), ("q", "r"), ("p", "z"), ("u", "u"), ("q", "q")]
+    got = grid.score_word_pairs(
+        spark.createDataFrame(pairs, "a string, b string"),
+        spark.createDataFrame(list(found.items()), "word string, vector array<float>"),
+    )
+    want = {("p", "p"): 1.0, ("p", "q"): 0.70711, ("p", "r"): 0.0, ("q", "r"): 0.70711, ("q", "q"): 1.0}
+    assert {(r["a"], r["b"]): r["sim"] for r in got.collect()} == want
+    assert grid.most_used(spark.createDataFrame([("p", 9), ("q", 2)], "word string, n long"), most).count() == min(most, 2)
