@@ -477,3 +477,31 @@ def test_word_pairs_are_scored_whether_words_are_common_or_not(spark, monkeypatc
     want = {("p", "p"): 1.0, ("p", "q"): 0.70711, ("p", "r"): 0.0, ("q", "r"): 0.70711, ("q", "q"): 1.0}
     assert {(r["a"], r["b"]): r["sim"] for r in got.collect()} == want
     assert grid.most_used(spark.createDataFrame([("p", 9), ("q", 2)], "word string, n long"), most).count() == min(most, 2)
+
+
+def test_sentences_of_few_words_shuffle_no_product(spark, animals, monkeypatch):
+    lemma, _, closure = animals
+    rng = np.random.default_rng(3)
+    words = ["cat", "tiger", "jaguar", "car", "auto", "the", "x"]
+    data = [(k, *(rng.choice(words, n).tolist() for n in rng.integers(0, 6, 2))) for k in range(40)]
+    data += [(None, ["cat"], ["tiger"]), (50, None, ["cat"])]
+    df = spark.createDataFrame(data, "id long, tokens1 array<string>, tokens2 array<string>")
+
+    def found(rows):
+        best = taxonomy.most_similar(rows, lemma, closure, 0.2, ["auto"])
+        return sorted(map(tuple, best.collect())), sorted(map(tuple, taxonomy.asked_pairs(rows, lemma).collect()))
+
+    def refused(*_, **__):
+        raise AssertionError("a product of sentences")
+
+    with monkeypatch.context() as m:
+        m.setattr(taxonomy, "wanted_pairs", refused)
+        few = found(df)
+    monkeypatch.setattr(taxonomy, "FEW_WORDS", 0)
+    assert few == found(df) and len(few[0]) > 20
+    monkeypatch.undo()
+    # rows of one id are one to the joins, as before
+    twice = df.unionByName(df.where("id < 9").withColumn("id", F.lit(1).cast("long")))
+    both = found(twice)
+    monkeypatch.setattr(taxonomy, "FEW_WORDS", 0)
+    assert both == found(twice)
