@@ -505,3 +505,60 @@ def test_sentences_of_few_words_shuffle_no_product(spark, animals, monkeypatch):
     both = found(twice)
     monkeypatch.setattr(taxonomy, "FEW_WORDS", 0)
     assert both == found(twice)
+
+
+def test_grids_of_common_and_rare_words(spark, monkeypatch):
+    """The same grids however many words are sent to the tasks; null sides, repeated and null keys."""
+    rng = np.random.default_rng(5)
+    vectors = [(f"w{k}", rng.normal(size=5).tolist()) for k in range(30)] + [("zero", [0.0] * 5)]
+    words = [w for w, _ in vectors] + ["unknown"]
+    data = [
+        (k, [words[x] for x in rng.integers(0, 32, 3 + k)], [words[x] for x in rng.integers(0, 32, 40)])
+        for k in range(30)
+    ]
+    data += [(50, None, ["w1", "w2"]), (51, ["w1"], None), (52, None, None), (53, [], ["w1"]), (None, ["w1"], ["w1"])]
+    data += [data[2], data[25], (60, ["w1"], ["w2"]), (60, ["w1"], ["w3"])]
+    df = spark.createDataFrame(data, "id long, tokens1 array<string>, tokens2 array<string>").repartition(3)
+    table = spark.createDataFrame(vectors, "word string, vector array<float>")
+    found = []
+    for most in (0, 4, 100):
+        monkeypatch.setattr(grid, "MOST_COMMON", most)
+        found.append({r["id"]: r["grid"] for r in grid.similarity_grid(df, table).collect()})
+    assert found[0] == found[1] == found[2] and len(found[0]) == 36
+    known = {w: np.float32(v).tolist() for w, v in vectors if w != "zero"}
+    for i, t1, t2 in data[:30]:
+        if i not in (2, 25):
+            assert np.allclose(found[0][i], cell_values(t1, t2, known), atol=1.1e-5), i
+    assert found[0][50] == [1.0] * 784 and found[0][None] == [1.0] * 784
+    assert found[0][51] == found[0][52] == found[0][53] == [0.0] * 784
+    assert len(found[0][25]) == 2 * 784
+
+
+def test_no_word_pair_of_a_grid_is_shuffled(spark, monkeypatch):
+    """Stored and shuffled rows grow with the words of a text pair, not with its cells."""
+    names, written = [], grid.written
+    monkeypatch.setattr(grid, "written", lambda df, name: names.append((name, df.count())) or written(df, name))
+    tokens = [[f"w{p}-{k}" for k in range(28)] for p in range(20)]
+    rows = [(p, words, words) for p, words in enumerate(tokens)]
+    df = spark.createDataFrame(rows, "id long, tokens1 array<string>, tokens2 array<string>")
+    table = spark.createDataFrame([(w, [1.0, 2.0]) for t in tokens for w in t], "word string, vector array<float>")
+    assert grid.similarity_grid(df, table).count() == 20
+    assert max(n for _, n in names) == 20 * 28
+
+
+def test_word_pairs_without_a_score_stay_when_asked_for(spark, monkeypatch):
+    pairs = [("p", "q"), ("p", "u"), ("u", "v"), ("p", "z")]
+    table = spark.createDataFrame([("p", [1.0, 0.0]), ("q", [1.0, 1.0]), ("z", [0.0, 0.0])], "word string, vector array<float>")
+    for most in (0, 2, 100):
+        monkeypatch.setattr(grid, "MOST_COMMON", most)
+        got = grid.score_word_pairs(spark.createDataFrame(pairs, "a string, b string"), table, "left")
+        assert {(r["a"], r["b"]): r["sim"] for r in got.collect()} == {
+            ("p", "q"): 0.70711, ("p", "u"): None, ("u", "v"): None, ("p", "z"): None
+        }
+
+
+def test_five_decimals_as_spark_rounds(spark):
+    values = [0.000005, 0.000015, 0.123455, -0.123465, 0.1234550000001, 1.0, -0.0, 0.99999500000000001]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    want = [r[0] for r in df.select(F.bround("x", 5)).collect()]
+    assert grid.bround5(np.array(values)).tolist() == want
