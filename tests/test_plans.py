@@ -58,3 +58,21 @@ def test_one_pass_scaling(spark):
     df = spark.range(10).select(F.col("id").cast("double").alias("x"), "id")
     assert plan(features.zscore(df, ["x"])).count("stddev_pop") >= 1
     assert "CartesianProduct" not in plan(features.zscore(df, ["x"]))
+
+
+def test_words_of_pairs_are_taken_once_per_batch(spark):
+    """No set is built per pair; a pair with a null side has no words."""
+    data = [(1, ["a", "b", "b"], ["c"]), (2, None, ["x"]), (3, ["y"], None), (4, [], ["a", "d"])]
+    tokens = spark.createDataFrame(data, "id long, tokens1 array<string>, tokens2 array<string>")
+    found = V.vectors_for(spark, SMALL, tokens)
+    words = spark.createDataFrame([(w,) for w in "abcd"], "word string")
+    want = V.word_vectors(words, V.load(spark, SMALL, "embeddings"))
+    assert found.count() == want.count() > 0 and found.exceptAll(want).count() == 0
+    assert "array_union" not in plan(found)
+
+
+def test_cells_are_exploded_before_words_are_looked_up(spark):
+    from pairmatch.operators import grid
+
+    tokens = spark.createDataFrame([(1, ["a"], ["b"])], "id long, tokens1 array<string>, tokens2 array<string>")
+    assert "lambdafunction" not in plan(grid.grid_cells(tokens))
