@@ -562,3 +562,20 @@ def test_five_decimals_as_spark_rounds(spark):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     want = [r[0] for r in df.select(F.bround("x", 5)).collect()]
     assert grid.bround5(np.array(values)).tolist() == want
+
+
+def test_words_with_several_vectors_score_for_each(spark, monkeypatch):
+    """A row per two vectors of a pair; in a grid the scores of a cell follow one another, the least first."""
+    pairs = spark.createDataFrame([("p", "q"), ("q", "q"), ("p", "r")], "a string, b string")
+    vectors = [("p", [1.0, 0.0]), ("q", [1.0, 1.0]), ("q", [0.0, 1.0]), ("r", [-0.000001, 1.0])]
+    table = spark.createDataFrame(vectors, "word string, vector array<double>")
+    df = spark.createDataFrame([(1, ["p"], ["q"])], "id long, tokens1 array<string>, tokens2 array<string>")
+    for most in (0, 100):
+        monkeypatch.setattr(grid, "MOST_COMMON", most)
+        got = sorted((r["a"], r["b"], repr(r["sim"])) for r in grid.score_word_pairs(pairs, table).collect())
+        assert got == [
+            ("p", "q", "0.0"), ("p", "q", "0.70711"), ("p", "r", "0.0"),
+            ("q", "q", "0.70711"), ("q", "q", "0.70711"), ("q", "q", "1.0"), ("q", "q", "1.0"),
+        ]
+        shown = grid.similarity_grid(df, table).first()["grid"]
+        assert set(shown) == {0.0} and len(shown) == 784
