@@ -363,6 +363,31 @@ def test_cooccurrence_matrix(spark):
     assert profile.cooccurrence_matrix(df.limit(0)).count() == 0
 
 
+def test_cooccurrence_rows_are_sums_of_the_matrix(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    docs = [[f"w{k}" for k in rng.zipf(1.3, n) % 400] for n in (0, 1, 2, 60, 60, 300)]
+    docs += [docs[3], ["alone"], ["x", "x", "y"], ["z", None, "x"], None]
+    df = spark.createDataFrame([(d,) for d in docs], "tokens array<string>").repartition(3)
+    clean = df.select(F.filter("tokens", lambda t: t.isNotNull()).alias("tokens"))
+    for source, max_n in ((df, 1), (clean, 2)):
+        cells = {}
+        for d in docs:
+            d = [t for t in d or [] if t is not None]
+            grams = [" ".join(d[i : i + k]) for k in range(1, max_n + 1) for i in range(len(d) - k + 1)]
+            counts = {g: grams.count(g) for g in grams}
+            for a, b in itertools.permutations(counts, 2):
+                row = cells.setdefault(a, {})
+                row[b] = row.get(b, 0) + counts[a] * counts[b]
+        want = {(t, len(r), sum(r.values()), max(r.values())) for t, r in cells.items()}
+        for block, some in ((1 << 23, 1 << 22), (50, 40)):
+            monkeypatch.setattr("pairmatch.operators.term_tiles.PRODUCTS", some)
+            got = profile.cooccurrence_rows(source, max_n, block)
+            assert {tuple(r) for r in got.select("term", "n_terms", "total", "most").collect()} == want
+        matrix = profile.matrix_rows(profile.cooccurrence_matrix(source, max_n))
+        assert {tuple(r) for r in matrix.collect()} == want
+    assert profile.cooccurrence_rows(df.limit(0)).count() == 0
+
+
 def test_functions_of_groups_see_them_in_parts(spark):
     rows = [(k % 7 if k % 11 else None, float(k)) for k in range(5000)] + [(1, 0.5)] * 20000
     df = spark.createDataFrame(rows, "key int, v double")
