@@ -136,3 +136,21 @@ def test_joined_scores_equal_sent_ones(spark, monkeypatch):
         monkeypatch.setattr("pairmatch.llm.suffix_tree.MOST_SENT", sent)
         got = {r["doc_id"]: r["score"] for r in score_texts(docs, model).collect()}
         assert got == pytest.approx(want)
+
+
+def test_tasks_hand_over_small_batches(spark, monkeypatch):
+    texts = ["a b c a b c a b d"] * 60 + ["x a y a z a"] * 40 + [f"w{k} a w{k}" for k in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+
+    def fitted():
+        model = fit_suffix_tree(docs)
+        counts = {bytes(r["token"]): r["c"] for r in model.vocabulary.collect()}
+        return counts, [sorted((r["key"], r["n"], r["p"]) for r in level.collect()) for level, _ in model.levels]
+
+    want = fitted()
+    for size in (1, 7):
+        monkeypatch.setattr("pairmatch.llm.suffix_tree.BATCH", size)
+        monkeypatch.setattr("pairmatch.llm.suffix_tree.FLUSH", 4 * size)
+        got = fitted()
+        assert got[0] == want[0] == Counter(t for text in texts for t in tokens(text))
+        assert got[1] == want[1]

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairmatch.operators import (
-    evaluate, features, grid, joins, learn, pairs, profile, rows, sampling, taxonomy, tfidf,
+    evaluate, features, grid, joins, learn, pairs, profile, rows, sampling, taxonomy, term_tiles,
+    tfidf,
 )
 from pairmatch.operators.groups import apply_by_key, apply_groups, combine_by_key
 
@@ -363,7 +364,7 @@ def test_cooccurrence_matrix(spark):
     assert profile.cooccurrence_matrix(df.limit(0)).count() == 0
 
 
-def test_cooccurrence_rows_are_sums_of_the_matrix(spark, monkeypatch):
+def test_cooccurrence_rows_are_sums_of_the_matrix(spark):
     rng = np.random.default_rng(4)
     docs = [[f"w{k}" for k in rng.zipf(1.3, n) % 400] for n in (0, 1, 2, 60, 60, 300)]
     docs += [docs[3], ["alone"], ["x", "x", "y"], ["z", None, "x"], None]
@@ -379,8 +380,7 @@ def test_cooccurrence_rows_are_sums_of_the_matrix(spark, monkeypatch):
                 row = cells.setdefault(a, {})
                 row[b] = row.get(b, 0) + counts[a] * counts[b]
         want = {(t, len(r), sum(r.values()), max(r.values())) for t, r in cells.items()}
-        for block, some in ((1 << 23, 1 << 22), (50, 40)):
-            monkeypatch.setattr("pairmatch.operators.term_tiles.PRODUCTS", some)
+        for block in (1 << 23, 50):
             got = profile.cooccurrence_rows(source, max_n, block)
             assert {tuple(r) for r in got.select("term", "n_terms", "total", "most").collect()} == want
         matrix = profile.matrix_rows(profile.cooccurrence_matrix(source, max_n))
@@ -388,6 +388,37 @@ def test_cooccurrence_rows_are_sums_of_the_matrix(spark, monkeypatch):
     assert profile.cooccurrence_rows(df.limit(0)).count() == 0
 
 
+def test_a_tile_is_multiplied_some_rows_at_a_time(monkeypatch):
+    rng = np.random.default_rng(6)
+
+    def entries(terms, seen):
+        block = object.__new__(term_tiles.Entries)
+        cells = np.argwhere(seen)  # in the order of terms
+        block.terms, block.own, block.doc = terms, cells[:, 0].astype(np.int32), cells[:, 1] + 7
+        block.n = rng.integers(1, 5, len(cells)).astype(np.int32)
+        return block
+
+    def dense(block):
+        x = np.zeros((len(block.terms), 60), np.int64)
+        x[block.own, block.doc - 7] = block.n
+        return x
+
+    left, right = (entries(np.arange(k) * 3, rng.random((k, 60)) < 0.2) for k in (20, 30))
+    monkeypatch.setattr(term_tiles, "PRODUCTS", 50)
+    for a, b in ((left, right), (left, left)):
+        parts = list(term_tiles.products(a, b))
+        assert len(parts) > 5 and max(len(row) for row, _, _ in parts) < 500
+        got, want = np.zeros((len(a.terms), len(b.terms)), np.int64), dense(a) @ dense(b).T
+        for row, column, n in parts:
+            assert not got[row, column].any()
+            got[row, column] = n
+        if a is b:
+            np.fill_diagonal(want, 0)
+        assert (got == want).all()
+    keys, n = np.array([5, 1 << 61, 5, 0]), np.array([1, 1 << 40, 2, 3])
+    assert [x.tolist() for x in term_tiles.summed(keys, n)] == [[0, 5, 1 << 61], [3, 3, 1 << 40]]
+
+
 def test_functions_of_groups_see_them_in_parts(spark):
     rows = [(k % 7 if k % 11 else None, float(k)) for k in range(5000)] + [(1, 0.5)] * 20000
     df = spark.createDataFrame(rows, "key int, v double")
