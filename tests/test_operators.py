@@ -635,3 +635,24 @@ def test_words_with_several_vectors_score_for_each(spark, monkeypatch):
         ]
         shown = grid.similarity_grid(df, table).first()["grid"]
         assert set(shown) == {0.0} and len(shown) == 784
+
+
+def test_token_product_has_every_cell(spark):
+    """All cells of a product beyond 784, in the order of itertools.product; no pair is left out."""
+    rng = np.random.default_rng(24)
+    texts = {k: [[f"w{x}" for x in rng.integers(0, 60, m)] for m in sizes]
+             for k, sizes in enumerate([(45, 70), (1, 1), (3, 2000), (0, 4), (4, 0), (0, 0)])}
+    data = [(k, *t) for k, t in texts.items()] + [(90, None, ["a"]), (91, ["a"], None), (92, None, None)]
+    df = spark.createDataFrame(data, "id long, tokens1 array<string>, tokens2 array<string>")
+    got = {}
+    for r in grid.token_product(df).collect():
+        got.setdefault(r["id"], []).append(r)
+    for k, t1, t2 in data:
+        want = list(itertools.product(t1 or [], t2 or []))
+        rows = sorted(got[k], key=lambda r: r["cell"])
+        if not want:
+            assert [tuple(r)[1:] for r in rows] == [(0, 1, None, None)]
+            continue
+        cells = {r["cell"] + j: (r["w1"], w) for r in rows for j, w in enumerate(r["w2"].split(" "))}
+        assert [cells[c] for c in range(len(cells))] == want
+        assert {r["n"] for r in rows} == {len(want)}
