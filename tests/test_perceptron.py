@@ -68,3 +68,31 @@ def test_grid_of_settings_by_folds(spark):
     assert got["solver=adam, activation=tanh, schedule=adaptive"] == pytest.approx(np.mean(losses))
     with pytest.raises(ValueError):
         P.grid_scores(df, ["a"], settings, 3, most_rows=5)
+
+
+def test_grid_takes_any_number_of_rows_some_at_a_time(spark, monkeypatch):
+    """No number of rows is refused by itself; losses and gradients of pieces add up to those of all rows."""
+    import inspect
+
+    assert inspect.signature(P.grid_scores).parameters["most_rows"].default is None
+    weights = P.start(4, SMALL)
+    whole, gradient = P.loss_and_gradient(X, Y, weights, SMALL)
+    df = spark.createDataFrame(
+        [(int(k), *map(float, X[k]), int(Y[k])) for k in range(len(X))],
+        "id long, a double, b double, c double, d double, is_duplicate int",
+    )
+    settings = P.grid(P.replace(SMALL, rounds=5), solver=["lbfgs", "adam"])
+    want = {r["setting"]: r["log_loss"] for r in P.grid_scores(df, list("abcd"), settings, 3).collect()}
+    held = []
+    with monkeypatch.context() as m:
+        m.setattr(P, "PIECE_ROWS", 50)
+        plain = P.margins
+        m.setattr(P, "margins", lambda x, *a: held.append(len(x)) or plain(x, *a))
+        loss, parts = P.loss_and_gradient(X, Y, weights, SMALL)
+        P.fit_here(X, Y, settings[0])
+        out = np.empty_like(X)
+        P.standardised(X, np.arange(100), np.arange(100, 120), out)
+    assert loss == pytest.approx(whole) and max(held) == 50
+    np.testing.assert_allclose(P.flat(parts), P.flat(gradient), atol=1e-12)
+    np.testing.assert_allclose(out, (X - X[:100].mean(0)) / X[:100].std(0), atol=1e-12)
+    assert len(want) == 2 and all(0 < v < 30 for v in want.values())
