@@ -656,3 +656,58 @@ def test_token_product_has_every_cell(spark):
         cells = {r["cell"] + j: (r["w1"], w) for r in rows for j, w in enumerate(r["w2"].split(" "))}
         assert [cells[c] for c in range(len(cells))] == want
         assert {r["n"] for r in rows} == {len(want)}
+
+
+@pytest.mark.parametrize("repeats", [0, 100])
+def test_weights_of_packed_terms(spark, monkeypatch, repeats):
+    """Many small packs and buckets give the weights of the long way; no row per term is stored."""
+    rng = np.random.default_rng(12)
+    data = [(int(i), s, [f"x{w}" for w in rng.integers(0, 30, rng.integers(0, 25))]) for i in range(40) for s in (1, 2)]
+    data += [(None, 1, ["x1", "x2"]), (3, 1, ["x5", "x6"]), (90, 1, None), (91, 2, ["the"])]
+    docs = spark.createDataFrame(data, "id long, side int, tokens array<string>")
+    names, written = [], tfidf.written
+    monkeypatch.setattr(tfidf, "written", lambda df, name: names.append(name) or written(df, name))
+    for name, n in (("PACK_WORDS", 60), ("BUCKET_TERMS", 40), ("HANDED_ROWS", 7), ("MOST_REPEATS", repeats)):
+        monkeypatch.setattr(tfidf, name, n)
+    texts = {}
+    for i, s, words in data:
+        if (i, s) in texts:  # rows of a document are merged by place
+            longer = itertools.zip_longest(texts[i, s], words)
+            texts[i, s] = [w for pair in longer for w in sorted(w for w in pair if w)]
+        else:
+            texts[i, s] = words or []
+    grams = {}
+    for k, words in texts.items():
+        kept = [w for w in words if w != "the"]
+        grams[k] = kept + [" ".join(p) for p in zip(kept, kept[1:])]
+
+    def long_way(freq, n):
+        out = {}
+        for k, g in grams.items():
+            own = {t: g.count(t) * (math.log((1 + n) / (1 + freq[t])) + 1) for t in set(g) if t in freq}
+            length = math.sqrt(sum(w * w for w in own.values()))
+            out |= {(*k, t): w / length for t, w in own.items()}
+        return out
+
+    freq = {}
+    for g in grams.values():
+        for t in set(g):
+            freq[t] = freq.get(t, 0) + 1
+    want = long_way(freq, len(data))
+    rows_ = tfidf.tfidf_weights(docs).collect()
+    got = {(r["id"], r["side"], r["term"]): r["weight"] for r in rows_}
+    assert len(rows_) == len(got) and got == pytest.approx(want)
+    assert names == ["packed-terms"]
+    plain = tfidf.tfidf_weights(docs, named=False)
+    assert plain.columns == ["id", "side", "weight"] and plain.count() == len(want)
+    some = [(t, n) for t, n in freq.items() if len(t) % 3]
+    fitted = tfidf.Frequencies(spark.createDataFrame(some, "term string, df long"), 55)
+    want = long_way(dict(some), 55)
+    found = {r["id"]: r for r in tfidf.tfidf_features(docs, fitted=fitted).collect()}
+    assert set(found) == {k[0] for k in want}
+    for i, r in found.items():
+        for s in (1, 2):
+            own = [w for k, w in want.items() if k[:2] == (i, s)]
+            assert r[f"weight_q{s}_sw"] == pytest.approx(sum(own))
+            assert r[f"weight_q{s}_mw"] == pytest.approx(sum(own) / len(own) if own else 0.0)
+    assert tfidf.tfidf_weights(docs.limit(0)).count() == 0
