@@ -711,3 +711,27 @@ def test_weights_of_packed_terms(spark, monkeypatch, repeats):
             assert r[f"weight_q{s}_sw"] == pytest.approx(sum(own))
             assert r[f"weight_q{s}_mw"] == pytest.approx(sum(own) / len(own) if own else 0.0)
     assert tfidf.tfidf_weights(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("sizes", [(1 << 12, 1 << 20), (3, 5)])
+def test_best_matches_of_few_words_in_packed_form(spark, animals, monkeypatch, sizes):
+    """Matches looked up in tasks are those of the joins, also in small pieces; no list is searched per word."""
+    rng = np.random.default_rng(14)
+    names = ["cat", "tiger", "jaguar", "car", "auto", "x", "y", None]
+    def side():
+        return None if rng.random() < 0.1 else [names[k] for k in rng.integers(0, 8, rng.integers(0, 7))]
+    data = [(k, side(), side()) for k in range(60)] + [(None, ["cat"], ["tiger"])]
+    df = spark.createDataFrame(data, "id long, tokens1 array<string>, tokens2 array<string>")
+    for name, n in zip(("PIECE_ROWS", "PIECE_PAIRS"), sizes):
+        monkeypatch.setattr(taxonomy, name, n)
+    lemma, _, closure = animals
+    for skip in ([], ["tiger"]):
+        few = taxonomy.most_similar(df, lemma, closure, 0.01, skip)
+        assert "array_intersect" not in few._jdf.queryExecution().executedPlan().toString()
+        with monkeypatch.context() as m:
+            m.setattr(taxonomy, "FEW_WORDS", 0)
+            joined = taxonomy.most_similar(df, lemma, closure, 0.01, skip)
+            want = sorted(map(tuple, joined.collect()))
+        got = sorted(map(tuple, few.collect()))
+        assert len(want) > 30 and [r[:3] + r[4:] for r in got] == [r[:3] + r[4:] for r in want]
+        assert [r[3] for r in got] == pytest.approx([r[3] for r in want])
