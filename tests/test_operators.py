@@ -735,3 +735,22 @@ def test_best_matches_of_few_words_in_packed_form(spark, animals, monkeypatch, s
         got = sorted(map(tuple, few.collect()))
         assert len(want) > 30 and [r[:3] + r[4:] for r in got] == [r[:3] + r[4:] for r in want]
         assert [r[3] for r in got] == pytest.approx([r[3] for r in want])
+
+
+def test_feature_vector_computes_no_row_for_a_length(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    tokens = spark.createDataFrame([(1, ["a"], ["b"])], "id long, tokens1 array<string>, tokens2 array<string>")
+    vectors = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "word string, vector array<double>")
+    cells = grid.similarity_grid(tokens, vectors)
+    ones = spark.createDataFrame([(1,)], "id long").mapInArrow(run, "id long")
+    tail = [*features.SCORE_COLUMNS, *[f"scaled_{i}" for i in range(1, 6)]]
+    df = ones.join(cells, "id").withColumns({c: F.lit(0.5) for c in tail})
+    vector = features.feature_vector(df)
+    assert seen.value == 0
+    assert vector.first()["features"].size == 792
